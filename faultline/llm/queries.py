@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash, tokenfiles, warc
+from . import decontaminate, katz, quality, simhash, substring, tokenfiles, warc
 from .common import fresh_dir, table
 
 
@@ -24,6 +24,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.inspect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -34,11 +38,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, out, tokenfiles.write(docs, out, tokenizer_path()))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     out = fresh_dir(spark, "warc")
     return warc.read(spark, out, warc.write(pages, out))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op7_decontaminate, op8_token_files, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_substring, op7_decontaminate, op8_token_files, op9_katz, op10_warc)}
 ORACLES: dict[str, str] = {}
