@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import decontaminate, quality, simhash, tokenfiles
+from faultline.llm import decontaminate, mixing, quality, simhash, tokenfiles
 from faultline.llm.common import fresh_dir, table
-from faultline.llm.queries import tokenizer_path
+from faultline.llm.queries import MIX, MIX_OPTIONS, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,12 +25,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), MIX, **MIX_OPTIONS)
+
+
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = fresh_dir(spark, "token-files")
     return tokenfiles.read(spark, out, tokenfiles.write(docs, out, tokenizer_path()))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("token_files", token_files)]
+STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("token_files", token_files)]
 
 #: The quality verdict is a trained model's and the ids are a tokenizer's: neither can be said in SQL.
 ORACLE_SQL = None
