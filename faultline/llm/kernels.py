@@ -118,16 +118,26 @@ def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return known
 
 
-def hash_words(text: Text, words: Words, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; ``which`` picks one of two independent functions."""
-    n = len(text.buf)
-    if not len(words.start):
-        return np.zeros(0, U64)
+def _hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    n = len(buf)
     up, down = _power_tables(BYTE_BASE[which], n + 1)
     total = np.empty(n + 1, U64)
     total[0] = 0
-    np.cumsum((text.buf.astype(U64) + U64(1)) * up[:n], out=total[1:])
-    return mix((total[words.end] - total[words.start]) * down[words.start])
+    np.cumsum((buf.astype(U64) + U64(1)) * up[:n], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
+def hash_words(text: Text, words: Words, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; ``which`` picks one of two independent functions.  Works on one step of
+    text at a time, whatever the size of the batch."""
+    if len(text.buf) <= 2 * STEP_BYTES:
+        return _hash_spans(text.buf, words.start, words.end, which) if len(words.start) else np.zeros(0, U64)
+    cuts = np.unique(np.append(np.searchsorted(words.start, np.arange(0, len(text.buf), STEP_BYTES)), len(words.start))).tolist()
+    out = [np.zeros(0, U64)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        low, high = words.start[a], words.end[b - 1]
+        out.append(_hash_spans(text.buf[low:high], words.start[a:b] - low, words.end[a:b] - low, which))
+    return np.concatenate(out)
 
 
 def hash_windows(hashes: np.ndarray, width: int, which: int = 0) -> np.ndarray:
