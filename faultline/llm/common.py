@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -44,5 +45,23 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that are kept by now; it does so when the driver's garbage,
+    which still refers to them, is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def keep_partitioned(df: DataFrame) -> DataFrame:
+    """``keep`` that goes on knowing how the table is partitioned, which adaptive execution forgets."""
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return keep(df.select("*"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import keep, partitions
+from .common import keep_partitioned, partitions, release
 
 ROW = "bucket int, batch long, payload binary"
 NO_ID = np.iinfo(np.int64).min
@@ -132,7 +132,9 @@ def store(docs: DataFrame, batch_bytes: int, text: str = "text") -> DataFrame:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("_text"))
-    return keep(rows.mapInArrow(run, "batch long, blob binary").repartition(partitions(docs.sparkSession), "batch"))
+    stored = keep_partitioned(rows.mapInArrow(run, "batch long, blob binary").repartition(partitions(docs.sparkSession), "batch"))
+    release(docs.sparkSession)
+    return stored
 
 
 def route(batch: int, keys: np.ndarray, buckets: int, *more: np.ndarray, bits: int = 64) -> list[tuple[int, int, bytes]]:

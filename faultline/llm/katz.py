@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import kernels as K
-from .common import keep
+from .common import keep, release
 
 #: Counts above this are taken as they are.
 K_MAX = 5
@@ -232,7 +232,9 @@ def score(docs: DataFrame) -> DataFrame:
     sizes = X.plan(docs)
     stored = X.store(docs, sizes.batch_bytes)
     singles = keep(X.meet(X.first_pass(stored, _send_tokens(sizes.buckets)), _sum_counts, extra=True))
+    release(docs.sparkSession)
     pairs = keep(X.meet(X.first_pass(stored, _send_pairs(sizes.buckets)), _sum_counts, extra=True))
+    release(docs.sparkSession)
     tokens, types, by_count = _facts(singles)
     one, two = unigrams(tokens, by_count, types), discounts(_facts(pairs)[2])
     ends = docs.where("doc_id is null or pmod(crc32(cast(cast(cast(doc_id as long) as string) as binary)), %d) != %d" % (FOLDS, HELD_OUT)).count()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from . import exchange as X
 from . import kernels as K
-from .common import keep
+from .common import keep, release
 
 WIDTH = 20
 
@@ -181,6 +181,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     bits = min(62, max(40, sizes.words.bit_length() + 16))
     stored = X.store(docs, sizes.batch_bytes)
     state = keep(X.meet(X.first_pass(stored, _send_probes(width // 2, bits, sizes.buckets)), _match_probes))
+    release(docs.sparkSession)
     sent = X.later_pass(stored, [state], _send_windows(width, bits, sizes.buckets), X.ROW)
     wins = X.meet(sent, _match_windows)
     return X.later_pass(stored, [state, wins], _remove(width, bits), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>")
