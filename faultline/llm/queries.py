@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, mixing, quality, rollup, simhash, substring, tokenfiles, warc
+from . import decontaminate, katz, linejoin, mixing, quality, rollup, simhash, substring, tokenfiles, warc
 from .common import fresh_dir, keep, table
 
 
@@ -51,6 +51,10 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.totals()
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linejoin.remove_similar_lines(table(spark, sf_dir, "documents")).drop("removed")
+
+
 #: Shares of tokens by domain (the label values), and the domain that grows by a tenth.
 MIX = {"quality1_toxic0": 0.97, "quality1_toxic1": 0.01, "quality0_toxic0": 0.01, "quality0_toxic1": 0.01}
 MIX_OPTIONS = {"anchor": "quality1_toxic0", "scale": 1.1}
@@ -80,7 +84,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, out, warc.write(pages, out))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_substring, op4_token_rollup, op6_mixing, op7_decontaminate, op8_token_files, op9_katz, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_substring, op4_token_rollup, op5_line_dedup, op6_mixing, op7_decontaminate, op8_token_files, op9_katz, op10_warc)}
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

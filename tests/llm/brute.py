@@ -121,3 +121,23 @@ def warc(rows):
 
 def canon(x):
     return json.dumps(x, sort_keys=True)
+
+
+def similar_lines(rows):
+    """Quadratic over distinct sets: a line goes if an earlier one has Jaccard similarity 0.8 or more."""
+    earlier, out = {}, []
+    for i, t in sorted(rows, key=lambda x: x[0]):
+        kept, n, gone = [], 0, 0
+        for line in (t or "").split("\n"):
+            words = frozenset(WORD.findall(line))
+            if not words:
+                kept.append(line)
+                continue
+            n += 1
+            if words in earlier or any(9 * len(words & o) >= 4 * (len(words) + len(o)) for o in earlier):
+                gone += 1
+            else:
+                kept.append(line)
+            earlier.setdefault(words, None)
+        out.append((i, n, gone, hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return out
