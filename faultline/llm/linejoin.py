@@ -3,11 +3,11 @@
 A line is the set of its words.  Equal sets are one class, whose place is its first line in the corpus.  Words
 are ordered by rarity, taken from a sketch of corpus counts of fixed size, then by hash, so all lines agree.
 Two sets of Jaccard similarity t or more share a word among their first n - ceil(t n) + 1: those words are sent
-with the set's size, the word's place, a bitmap of the set and the class's place.  Where they meet, the length
-filter, the positional filter and the bitmap leave few pairs, whose sets then meet and are compared in full.
+with the set's size, the word's place, a sketch of the set and the class's place.  Where they meet, the length
+filter, the positional filter and the sketch leave few pairs, whose sets then meet and are compared in full.
 
 A line goes if an earlier line matches it (lines are judged on the input).  For that one match is enough: each
-class first tries its ``TRIES`` earliest candidates per word, and only classes that had more and matched none
+class first tries its earliest candidates, ``TRIES`` per word, and only classes that had more and matched none
 try all the rest; so a crowd of similar lines costs rows in proportion to its members.
 
 Lines without words are kept and match nothing.  Null and empty texts have no lines that match.  Rows that
@@ -32,7 +32,9 @@ from .substring import _match_windows
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
 #: Slots of the sketch of word counts, whatever the corpus, and parts in which it is summed.
-SLOTS, PARTS, TRIES = 1 << 18, 16, 4
+SLOTS, PARTS, TRIES = 1 << 18, 16, 1
+#: Words of a sketch (a power of two), and the size over which a set uses them all.
+SKETCH, WIDE = 4, 96
 
 
 class Lines(NamedTuple):
@@ -134,8 +136,21 @@ def _owned(classes: Classes, answers: list[list[np.ndarray]]) -> np.ndarray:
     return np.flatnonzero(answers[0][0]) if answers and answers[0] else np.zeros(0, np.int64)
 
 
-def _bitmaps(lines: Lines) -> np.ndarray:
-    return np.bitwise_or.reduceat(K.U64(1) << (lines.tokens & K.U64(63)), lines.first[:-1]) if len(lines.tokens) else np.zeros(0, K.U64)
+def _sketches(lines: Lines) -> list[np.ndarray]:
+    """Parity sketches, as SKETCH words: each token flips one bit, so two sets differ in at least as many tokens as
+    their sketches in bits, however large they are.  Sets over WIDE tokens use all words, others only the first."""
+    if not len(lines.tokens):
+        return [np.zeros(0, K.U64)] * SKETCH
+    word = np.where(np.repeat(np.diff(lines.first), np.diff(lines.first)) > WIDE, (lines.tokens >> K.U64(6)) & K.U64(SKETCH - 1), 0)
+    bit = K.U64(1) << (lines.tokens & K.U64(63))
+    return [np.bitwise_xor.reduceat(np.where(word == k, bit, K.U64(0)), lines.first[:-1]) for k in range(SKETCH)]
+
+
+def _differ(a: list[np.ndarray], b: list[np.ndarray], wide: np.ndarray) -> np.ndarray:
+    """Bits in which sketches differ, folded to one word unless both are wide."""
+    full = sum(np.bitwise_count(x ^ y).astype(np.int64) for x, y in zip(a, b, strict=True))
+    fold = np.bitwise_count(np.bitwise_xor.reduce(a) ^ np.bitwise_xor.reduce(b)).astype(np.int64)
+    return np.where(wide, full, fold)
 
 
 def _send_prefixes(rarity: np.ndarray, buckets: int):
@@ -157,14 +172,14 @@ def _send_prefixes(rarity: np.ndarray, buckets: int):
         token = lines.tokens[lines.first[line] + place]
         order = np.argsort(token, kind="stable")
         ids, doc = np.unique(docs.ids[lines.row[line]], return_inverse=True)
-        marks = _bitmaps(lines)
+        marks = _sketches(lines)
         at = each[order]
-        routed = X.route(batch, token[order], buckets, own[at].astype(np.uint32), n[at].astype(np.uint32), place[order].astype(np.uint32), marks[line[order]], doc[order].astype(np.uint32), line[order].astype(np.uint32), tries[at])
+        routed = X.route(batch, token[order], buckets, own[at].astype(np.uint32), n[at].astype(np.uint32), place[order].astype(np.uint32), doc[order].astype(np.uint32), line[order].astype(np.uint32), tries[at], *(m[line[order]] for m in marks))
         out = []
         for bucket, name, payload in routed:
-            key, c, m, p, b, d, l, t = X.unpack(payload)
+            key, c, m, p, d, l, t, *w = X.unpack(payload)
             used, where = np.unique(d, return_inverse=True)
-            out.append((bucket, name, X.pack(key, ids[used], c, m, p, b, where.astype(np.uint32), l, t, rising=2)))
+            out.append((bucket, name, X.pack(key, ids[used], c, m, p, where.astype(np.uint32), l, t, *w, rising=2)))
         return X.rows(out)
 
     return work
@@ -176,10 +191,10 @@ def _pair_up(skip: int, most: int):
     def answer(batches: list[int], sent: list[list[np.ndarray]]) -> tuple[list[bytes | None], list[int]]:
         size = [len(x[0]) for x in sent]
         source = np.repeat(np.arange(len(sent)), size)
-        key, cls, n, place, bits, line, tries = (np.concatenate([x[k] for x in sent]) for k in (0, 2, 3, 4, 5, 7, 8))
-        ids = np.concatenate([x[1][x[6]] for x in sent])
+        key, cls, n, place, line, tries, *bits = (np.concatenate([x[k] for x in sent]) for k in (0, 2, 3, 4, 6, 7, *range(8, 8 + SKETCH)))
+        ids = np.concatenate([x[1][x[5]] for x in sent])
         order = np.lexsort((line, source, ids, key))
-        source, key, cls, n, place, bits, tries = (x[order] for x in (source, key, cls, n.astype(np.int64), place.astype(np.int64), bits, tries))
+        source, key, cls, n, place, tries, *bits = (x[order] for x in (source, key, cls, n.astype(np.int64), place.astype(np.int64), tries, *bits))
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         length = np.diff(np.append(head, len(key)))
         start = np.repeat(head, length)
@@ -191,10 +206,11 @@ def _pair_up(skip: int, most: int):
         while len(active):
             y, x = active, start[active] + k
             need = -(-NUM * (n[x] + n[y]) // (NUM + DEN))
-            room = 1 + np.minimum(n[x] - place[x], n[y] - place[y]) - 1
-            differ = np.bitwise_count(bits[x] ^ bits[y])
-            # words before the shared one may be shared as well: up to the smaller place
-            ok = (np.minimum(n[x], n[y]) >= need) & (room + np.minimum(place[x], place[y]) >= need) & (n[x] + n[y] - differ >= 2 * need)
+            # at the first word that two sets share, all that they share is still to come in both
+            ok = np.minimum(n[x] - place[x], n[y] - place[y]) >= need
+            at = np.flatnonzero(ok)
+            u, v = x[at], y[at]
+            ok[at] = n[u] + n[v] - _differ([w[u] for w in bits], [w[v] for w in bits], np.minimum(n[u], n[v]) > WIDE) >= 2 * need[at]
             passed[y[ok]] += 1
             take = ok & (passed[y] > skip) & (passed[y] <= skip + most)
             found.append((y[take], x[take]))
@@ -231,33 +247,36 @@ def _ship(batch: int, docs: X.Docs, answers: list[list[np.ndarray]]) -> pa.Recor
     out = []
     for other in np.unique(pairs[:, 1]).tolist():
         mine = pairs[pairs[:, 1] == other]
-        own, where = np.unique(mine[:, 0], return_inverse=True)
+        own = np.unique(mine[:, 0])
         size, tokens = _sets(lines, classes, own)
-        out.append((batch % (1 << 31), other, X.pack(mine[:, 2].copy(), mine[:, 0].copy(), size[where], tokens_of(size, tokens, where), np.full(len(mine), batch, np.int64))))
+        # a set goes once however many sets there it is to be compared with
+        out.append((batch % (1 << 31), other, X.pack(mine[:, 2].copy(), mine[:, 0].copy(), np.full(len(mine), batch, np.int64), own, np.full(len(own), batch, np.int64), size, tokens)))
     return X.rows(out)
 
 
-def tokens_of(size: np.ndarray, tokens: np.ndarray, which: np.ndarray) -> np.ndarray:
-    first = np.cumsum(size) - size
-    n = size[which]
-    return tokens[np.repeat(first[which], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-
-
 def _verify(batch: int, docs: X.Docs, answers: list[list[np.ndarray]]) -> pa.RecordBatch:
     """Compares in full; tells the later class's batch which of its classes have a match."""
     if not answers or not answers[0]:
         return X.rows([])
     lines = _lines(docs)
     classes = _classes(lines)
-    earlier, later, size, tokens, source = answers[0]
-    have, mine = _sets(lines, classes, earlier)
-    number = np.arange(len(earlier), dtype=K.U64) * K.U64(0x9E3779B97F4A7C15)
-    both = np.concatenate((K.mix(mine + np.repeat(number, have)), K.mix(tokens + np.repeat(number, size))))
-    pair = np.concatenate((np.repeat(np.arange(len(earlier)), have), np.repeat(np.arange(len(earlier)), size)))
-    order = np.argsort(both)
-    twice = both[order][1:] == both[order][:-1]
-    shared = np.bincount(pair[order][1:][twice], minlength=len(earlier))
-    ok = shared * (NUM + DEN) >= NUM * (have + size)
+    earlier, later, source, own, origin, size, tokens = answers[0]
+    known = np.unique(origin)
+    key = lambda where, cls: (np.searchsorted(known, where) << 32) | cls
+    order = np.argsort(key(origin, own))
+    place = order[np.searchsorted(key(origin, own)[order], key(source, later))]
+    first, ok = np.cumsum(size) - size, np.zeros(len(earlier), bool)
+    for a in range(0, len(earlier), 8192):  # some thousand pairs at a time
+        at = place[a : a + 8192]
+        have, mine = _sets(lines, classes, earlier[a : a + 8192])
+        n = size[at]
+        theirs = tokens[np.repeat(first[at], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+        pair = np.concatenate((np.repeat(np.arange(len(at)), have), np.repeat(np.arange(len(at)), n)))
+        both = K.mix(np.concatenate((mine, theirs)) + pair.astype(K.U64) * K.U64(0x9E3779B97F4A7C15))
+        order = np.argsort(both)
+        twice = both[order][1:] == both[order][:-1]
+        shared = np.bincount(pair[order][1:][twice], minlength=len(at))
+        ok[a : a + 8192] = shared * (NUM + DEN) >= NUM * (have + n)
     return X.rows([(batch % (1 << 31), b, X.pack(np.unique(later[ok & (source == b)]))) for b in np.unique(source[ok]).tolist()])
 
 
