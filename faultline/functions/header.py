@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
@@ -48,26 +48,32 @@ def request_context(thread: Column) -> Column:
     return F.when(thread.rlike(_REQUEST), F.struct(*(F.regexp_extract(thread, _REQUEST, k).alias(n) for k, n in enumerate(names, 1))))
 
 
-def metadata(event: Column) -> dict[str, Column]:
-    """The fields of an event by name; all null if its first line is no complete header."""
-    line = F.regexp_replace(F.substring_index(event, "\n", 1), r"\r\z", "")
-    ok = line.rlike(FULL)
-    part = lambda k: F.when(ok, F.regexp_extract(line, FULL, k))
-    stamp, node, level, context, rest = (part(k) for k in range(1, 6))
-    thread = F.regexp_extract(context, r"(?s)\A\[(.*)\]\z", 1)
-    first = F.regexp_extract(rest, r"(?sU)\A(\S*+)", 1)
-    own, by_thread = first.rlike(_DOTTED), thread.rlike(_DOTTED)
-    logger = F.when(~ok, None).when(own, first).when(by_thread, thread).otherwise("unknown")
-    message = F.when(own, _trim_start(F.regexp_replace(rest, r"(?sU)\A\S*+\s?", ""))).otherwise(_trim_start(rest))
-    span = lambda start, text: F.struct(start.cast("long").alias("start"), (start + F.octet_length(text)).cast("long").alias("end"))
-    at_node = F.lit(24)
-    at_level = at_node + F.octet_length(node) + 2
-    at_context = at_level + F.octet_length(level) + 2
-    at_rest = at_context + F.octet_length(context) + 1
-    at_logger = F.when(own, at_rest).when(by_thread, at_context + 1)
+FIELDS = ("timestamp", "node", "level", "thread", "logger", "message")
+
+
+def parse(events: DataFrame, text: str = "text") -> DataFrame:
+    """Adds timestamp, node, level, thread, logger, message, request_context and offsets of the first line; all are
+    null if it is no complete header.  One pattern decides, one finds the context, the rest is cut by position; the
+    steps are columns of their own, so nothing is worked out twice."""
+    c, size = F.col, F.octet_length
+    out = events.withColumn("_line", F.regexp_replace(F.substring_index(text, "\n", 1), r"\r\z", ""))
+    out = out.withColumn("_line", F.when(c("_line").rlike(FULL), c("_line")))
+    out = out.withColumn("node", F.substring_index(F.substring(c("_line"), 25, 2**31 - 1), " ", 1))
+    out = out.withColumn("_after", F.substring(c("_line"), F.length("node") + 27, F.lit(2**31 - 1)))
+    out = out.withColumn("level", F.substring_index("_after", "*", 1))
+    out = out.withColumn("_after", F.substring(c("_after"), F.length("level") + 3, F.lit(2**31 - 1)))
+    out = out.withColumn("_context", F.regexp_extract("_after", r"\A" + _brackets(DEPTH), 0))
+    out = out.withColumns({"_rest": F.substring(c("_after"), F.length("_context") + 2, F.lit(2**31 - 1)), "thread": F.substring(c("_context"), F.lit(2), F.length("_context") - 2)})
+    out = out.withColumn("_first", F.regexp_extract("_rest", r"(?sU)\A(\S*+)", 1))
+    out = out.withColumn("_own", F.when(c("_first").rlike(_DOTTED), 1).when(c("thread").rlike(_DOTTED), 2).when(c("_line").isNotNull(), 0))
+    out = out.withColumns({"logger": F.when(c("_own") == 1, c("_first")).when(c("_own") == 2, c("thread")).when(c("_own") == 0, "unknown"), "message": _trim_start(F.when(c("_own") == 1, F.substring(c("_rest"), F.length("_first") + 2, F.lit(2**31 - 1))).otherwise(c("_rest")))})
+    span = lambda start, text: F.struct(start.cast("long").alias("start"), (start + size(text)).cast("long").alias("end"))
+    out = out.withColumn("_at", F.lit(28) + size("node") + size("level"))  # of the context
+    at_rest, zero = c("_at") + size("_context") + 1, F.lit(0).cast("long")
     offsets = F.struct(
-        span(F.lit(0), stamp).alias("timestamp"), span(at_node, node).alias("node"), span(at_level, level).alias("level"), span(at_context + 1, thread).alias("thread"),
-        F.when(at_logger.isNull(), F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).otherwise(span(at_logger, logger)).alias("logger"),
-        span(F.octet_length(line) - F.octet_length(message), message).alias("message"),
+        span(F.lit(0), F.substring(c("_line"), 1, 23)).alias("timestamp"), span(F.lit(24), c("node")).alias("node"), span(F.lit(26) + size("node"), c("level")).alias("level"), span(c("_at") + 1, c("thread")).alias("thread"),
+        F.when(c("_own") == 0, F.struct(zero.alias("start"), zero.alias("end"))).otherwise(span(F.when(c("_own") == 1, at_rest).otherwise(c("_at") + 1), c("logger"))).alias("logger"),
+        span(size("_line") - size("message"), c("message")).alias("message"),
     )
-    return {"timestamp": stamp, "node": node, "level": level, "thread": thread, "logger": logger, "message": message, "request_context": request_context(thread), "offsets": F.when(ok, offsets)}
+    out = out.withColumns({"timestamp": F.substring(c("_line"), 1, 23), "request_context": request_context(c("thread")), "offsets": F.when(c("_line").isNotNull(), offsets)})
+    return out.drop("_line", "_after", "_context", "_rest", "_first", "_own", "_at")

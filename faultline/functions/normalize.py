@@ -33,12 +33,17 @@ QUERY = r"([?&][^=&#\s]+=)([^&#\s]*)"
 LONG = rf"\A(?:{_HEX}{{8,}}|[0-9]{{4,}})\z"
 
 
+#: What a token needs to fall under any rule, and to be an address; most tokens fail the first test.
+_ANY = rf"[0-9:@=]|\A{_HEX}{{8,}}\z"
+_ADDRESS = r"\A[\[\]0-9A-Fa-f:.]{2,}\z"
+
+
 def normalize_token(token: Column) -> Column:
     """The first rule that applies: known shapes, object identities, query values, long hex or integers."""
     unicode = lambda p: "(?U)" + p
-    known = token.rlike(UUID) | token.rlike(IP) | token.rlike(unicode(STAMP)) | token.rlike(unicode(DURATION))
+    known = token.rlike(UUID) | (token.rlike(_ADDRESS) & token.rlike(IP)) | token.rlike(unicode(STAMP)) | token.rlike(unicode(DURATION))
     in_query = F.contains(token, F.lit("=")) & (F.contains(token, F.lit("?")) | F.contains(token, F.lit("&"))) & token.rlike(unicode(QUERY))
-    out = F.when((token == WILDCARD) | known, WILDCARD).when(token.rlike(OBJECT), F.regexp_replace(token, OBJECT, rf"$1@{WILDCARD}"))
+    out = F.when(~token.rlike(_ANY), token).when(known, WILDCARD).when(token.rlike(OBJECT), F.regexp_replace(token, OBJECT, rf"$1@{WILDCARD}"))
     return out.when(in_query, F.regexp_replace(token, unicode(QUERY), rf"$1{WILDCARD}")).when(token.rlike(LONG), WILDCARD).otherwise(token)
 
 

@@ -18,8 +18,7 @@ def ordered(events: DataFrame) -> DataFrame:
 
 def parse(events: DataFrame) -> DataFrame:
     """Adds the header's fields and the terminal exception; events without a complete header are dropped."""
-    fields = header.metadata(F.col("text"))
-    out = events.withColumns(fields).where("timestamp is not null")
+    out = header.parse(events).where("timestamp is not null")
     identity = terminal_identity(F.col("text"), F.col("message"))
     return out.withColumn("_id", identity).withColumns({"terminal_exception": F.col("_id.exception"), "terminal_frame": F.col("_id.frame")}).drop("_id")
 

@@ -98,7 +98,7 @@ def _ids(log: DataFrame, events: DataFrame) -> DataFrame:
 
 def aggregate(prepared: DataFrame, log: DataFrame, tuning: Tuning, mutes: DataFrame | None = None, raw_sample: bool = False) -> Analysis:
     """Groups (as in FIXTURES section 1) and overflow of prepared events and their learning log."""
-    events = assign(prepared, log)
+    events = assign(prepared, log).persist()  # several sums, the samples and the overflow read it
     ids = _ids(log, events)
     ends = survivors(log)
     ends = ends.join(ids, ends["created_seq"] == ids["seq"]).select(*BUCKET, "slot", "final", "created_seq", "id")

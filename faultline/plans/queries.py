@@ -75,9 +75,7 @@ def normalize_messages(spark, sf_dir):
 
 
 def header_metadata(spark, sf_dir):
-    fields = header.metadata(F.col("text"))
-    names = ("timestamp", "node", "level", "thread", "logger", "message")
-    return log_events(spark, sf_dir).select("event_id", *(fields[n].alias(n) for n in names), fields["offsets"]["message"]["start"].alias("message_start"))
+    return header.parse(log_events(spark, sf_dir)).select("event_id", *header.FIELDS, F.col("offsets.message.start").alias("message_start"))
 
 
 def request_context(spark, sf_dir):

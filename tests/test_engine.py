@@ -117,7 +117,7 @@ def test_headers(spark):
     nested = "26.08.2026 12:00:00.000 author-0 *ERROR* [192.0.2.10 [1724666401456] GET /content/site/us/en.html HTTP/1.1] com.example.Servlet failed\n\tat x"
     cases = [H + "m", nested, "26.08.2026 12:00:00.000 n *ERROR* main msg", "26.08.2026 12:00:00.000 n *ERROR* [a [b] msg", H.replace("ERROR", "NOPE"), "26.08.2026 12:00:00.000", "26.08.2026 12:00:00.000 n *WARN* [" + "x" * 200_000 + "] hello", "26.08.2026 12:00:00.000 n *WARN* [com.a.B] hello there"]
     rows = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, t string")
-    got = rows.select("k", header.is_header(F.col("t")).alias("is"), *(c.alias(n) for n, c in header.metadata(F.col("t")).items())).orderBy("k").collect()
+    got = header.parse(rows, "t").withColumn("is", header.is_header(F.col("t"))).orderBy("k").collect()
     assert [r["is"] for r in got] == [True, True, False, False, False, False, True, True]
     assert (got[0].logger, got[0].message, got[0].node, got[0].request_context) == ("com.example.Foo", "m", "author-0", None)
     assert tuple(got[1].request_context) == ("192.0.2.10", "1724666401456", "GET", "/content/site/us/en.html", "HTTP/1.1") and got[1].message == "failed"
