@@ -74,19 +74,23 @@ def train(texts: list[str | None], domain: list[str], used: int = USED, rounds:
     a domain and the rest (by the z-score of the smoothed log-odds)."""
     names = tuple(sorted(set(domain)))
     y = np.searchsorted(names, domain)
-    text = K.text_of(pa.array(texts, pa.string()))
-    row, slot = _presence(text)
-    hits = np.stack([np.bincount(slot[y[row] == k], minlength=SLOTS) for k in range(len(names))]).astype(float)
-    size, every = np.bincount(y, minlength=len(names)).astype(float)[:, None], hits.sum(0)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    parts = [K.text_of(p.column("text")) for p in K.steps(batch, "text")]
+    hits, at = np.zeros((len(names), SLOTS), np.float32), 0
+    for text in parts:
+        row, slot = _presence(text)
+        np.add.at(hits, (y[at + row], slot), 1)
+        at += len(text.offs) - 1
+    size, every = np.bincount(y, minlength=len(names)).astype(np.float32)[:, None], hits.sum(0)
     odds = np.log((hits + 0.5) / (size - hits + 0.5)) - np.log((every - hits + 0.5) / (len(y) - size - every + hits + 0.5))
     spread = np.sqrt(1 / (hits + 0.5) + 1 / (every - hits + 0.5) + 1 / (size - hits + 0.5) + 1 / (len(y) - size - every + hits + 0.5))
     z = np.where(every >= 3, np.abs(odds / spread).max(0), 0)
     best = np.argsort(-z, kind="stable")[:used]
     place = np.full(SLOTS, -1, np.int64)
     place[best] = np.arange(len(best))
-    _, stats = measure(text)
+    stats = np.concatenate([measure(text)[1] for text in parts])
     blank = Classifier(names, place, stats.mean(0), stats.std(0) + 1e-6, np.zeros((len(FEATURES) + len(best) + 1, len(names))))
-    x = blank.features(text)[1].astype(np.float32)
+    x = np.concatenate([blank.features(text)[1].astype(np.float32) for text in parts])
     goal = np.eye(len(names), dtype=np.float32)[y]
     w, m, v = blank.weight.astype(np.float32), 0.0, 0.0
     for t in range(1, rounds + 1):  # Adam, all rows at once
