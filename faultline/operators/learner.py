@@ -214,7 +214,7 @@ def most_live(log: DataFrame) -> int:
 def learn(events: DataFrame, tuning: Tuning) -> DataFrame:
     """The learning log, exact under the cap on live groups as well.  As long as the cap is not reached, buckets
     do not see each other; once it is, what is created depends on all of them, and one ordered pass follows."""
-    log = learn_buckets(events, tuning)
+    log = learn_buckets(events, tuning).persist()  # one row per distinct message, template and merge; every later step reads it
     created = log.where("kind = 'created'").limit(tuning.max_groups + 1).count()
     if created > tuning.max_groups and most_live(log) > tuning.max_groups:
         return events.select(*BUCKET, "tokens", "seq").groupBy(F.lit(0)).applyInArrow(_capped(tuning.similarity, tuning.bucket_cap, tuning.max_groups), SCHEMA)

@@ -36,6 +36,4 @@ def analyze_events(events: DataFrame, tuning: Tuning | None = None, arrival: Col
     t = tuning or Tuning()
     prepare(events.sparkSession)
     prepared = ev.prepare(events, t, arrival).persist()  # framing and parsing run once
-    # the learning log is small (distinct messages) and used by every later step
-    log = learner.learn(prepared, t).persist()
-    return gr.aggregate(prepared, log, t, mutes, raw_sample)
+    return gr.aggregate(prepared, learner.learn(prepared, t), t, mutes, raw_sample)

@@ -144,14 +144,17 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.select("id", "count", "level", "logger", F.array_join("template", " ").alias("template"), time.rfc3339(F.col("first_seen")).alias("first"), time.rfc3339(F.col("last_seen")).alias("last"), F.array_join("nodes", ",").alias("nodes"))
 
 
-def _view(name: str, tuning: Tuning = ALL, muted: bool = False):
+def _view(name: str, tuning: Tuning = ALL, muted: bool = False, now: str | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = _groups(spark, sf_dir, tuning).groups
-        return _shown(views.ranked(views.snapshot(found.withColumn("muted", F.col("id") <= 2) if muted else found, tuning), name))
+        found = found.withColumn("muted", F.col("id") <= 2) if muted else found
+        return _shown(views.ranked(views.snapshot(found, tuning, F.lit(now).cast("timestamp") if now else None), name))
 
     return run
 
 
+#: A clock at which some groups of the events table are new.
+FIRST_MINUTES = "2024-01-01 00:07:00"
 #: Half-lives and ages of the events table's scale: a month.
 SLOW = Tuning(levels=ALL.levels, fast_half_life_secs=43_200, baseline_half_life_secs=86_400, new_age_secs=86_400, increasing_ratio=1.0, increasing_min_rate=0.0)
 
@@ -220,7 +223,7 @@ def count_checksum(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (redact_documents, redact_page_urls, normalize_messages, header_metadata, request_context, exception_identity, frame_events, frame_diagnostics, byte_caps, sample_capture, visible_documents, level_filter, utc_interpretation, dst_faults, ewma_rates, group_rates, search_groups, group_detail, overflow_by_level, group_counts_capped, learn_groups, similarity_pairs, nodes_capped, ndjson_updated, ndjson_created, count_checksum)
-} | {"view_volume": _view("volume"), "view_new": _view("new", SLOW), "view_increasing": _view("increasing", SLOW), "view_muted": _view("muted", muted=True)}
+} | {"view_volume": _view("volume"), "view_new": _view("new", ALL, now=FIRST_MINUTES), "view_increasing": _view("increasing", SLOW), "view_muted": _view("muted", muted=True)}
 
 
 def _redact_sql(column: str) -> str:
@@ -264,7 +267,7 @@ ORACLES: dict[str, str] = {
         select 'com.example.' || event_type logger, fast, baseline from own""",
     "search_groups": f"{_G} select {_V} from v where contains(lower(template), 'for p')",
     "view_volume": f"{_G} select {_V} from v",
-    "view_new": f"{_G} select {_V} from v, now where epoch_us(now) - epoch_us(f) <= 86400e6",
+    "view_new": f"{_G} select {_V} from v where epoch_us(timestamp '{FIRST_MINUTES}') - epoch_us(f) <= 60e6",
     "view_increasing": f"{_G} select {_V} from v join rates using (event_type), now where epoch_us(now) - epoch_us(f) >= 60e6 and fast >= base",
     "view_muted": f"{_G} select {_V} from v where id <= 2",
     "overflow_by_level": f"""with e as (select *, {_LEVEL_SQL} as level from events), u as (select level, user_id, count(*) n, min((ts, event_id)) f from e group by all), k as (select *, row_number() over (partition by level order by f) k from u)
