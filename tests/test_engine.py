@@ -130,7 +130,7 @@ def test_exceptions(spark):
     def identity(body, message="m"):
         return tuple(spark.createDataFrame([(body, message)], "e string, m string").select(exception.terminal_identity(F.col("e"), F.col("m")).alias("r")).first().r)
 
-    assert identity("h\njava.lang.A: x\n\tat a.B.c(B.java:1)\nCaused by: org.x.Y\n\tat app//p.Q.<init>(Q.java)\n\tat p.Q.z(Q.java)") == ("org.x.Y", "p.Q.<init>")
+    assert identity("h\njava.lang.A: x\n\tat a.B.c(B.java:1)\nCaused by: org.x.Y\n\tat app/p.Q.<init>(Q.java)\n\tat p.Q.z(Q.java)") == ("org.x.Y", "p.Q.<init>")
     assert identity("h\nCaused by: a.B: x\r\n\tat a.B.c(X)\r\n\tSuppressed: c.D\r\n") == ("c.D", None)
     assert identity("h", "java.io.IOException: gone") == ("java.io.IOException", None)
     assert identity("h\nthe java.lang.Error happened\n\tat a.B.c(X)") == (None, None)
