@@ -8,7 +8,9 @@ filter, the positional filter and the sketch leave few pairs, whose sets then me
 
 A line goes if an earlier line matches it (lines are judged on the input).  For that one match is enough: each
 class first tries its earliest candidates, ``TRIES`` per word, and only classes that had more and matched none
-try all the rest; so a crowd of similar lines costs rows in proportion to its members.
+try all the rest; so a crowd of similar lines costs rows in proportion to its members.  For that second round only
+words in the slots of the undecided classes' prefixes are sent again.  Pairs name lines by their number in the
+batch, so that comparing them reads the words of those lines alone.
 
 Lines without words are kept and match nothing.  Null and empty texts have no lines that match.  Rows that
 repeat an id follow the order of the store; rows with a null id come first.  Other columns are ignored.
@@ -32,7 +34,9 @@ from .substring import _match_windows
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
 #: Slots of the sketch of word counts, whatever the corpus, and parts in which it is summed.
-SLOTS, PARTS, TRIES = 1 << 18, 16, 1
+SLOTS, PARTS, TRIES = 1 << 18, 16, 4
+#: Groups of batches in which the sketch is summed before the groups are.
+GROUPS = 512
 #: Words of a sketch (a power of two), and the size over which a set uses them all.
 SKETCH, WIDE = 4, 96
 
@@ -42,6 +46,7 @@ class Lines(NamedTuple):
 
     row: np.ndarray  # document of each line
     number: np.ndarray  # its number in the text
+    at: np.ndarray  # its number in the batch
     first: np.ndarray  # lines + 1, into tokens
     tokens: np.ndarray
     key: np.ndarray  # hash of the set
@@ -58,27 +63,67 @@ def _line_words(docs: X.Docs) -> tuple[K.Words, np.ndarray, np.ndarray, np.ndarr
     return words, K.hash_words(docs.text, words), line, begin
 
 
-def _lines(docs: X.Docs, rarity: np.ndarray | None = None) -> Lines:
-    """Tokens in the order of their rarity class and hash; without ``rarity``, of their hash."""
-    words, hashes, line, begin = _line_words(docs)
-    rank = rarity[(hashes >> K.U64(46)).astype(np.int64)].astype(K.U64) if rarity is not None else np.zeros(len(hashes), K.U64)
+def _distinct(line: np.ndarray, hashes: np.ndarray, rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and their distinct tokens, by line, rarity class (where given) and hash."""
+    rank = rarity[_slot(hashes)].astype(K.U64) if rarity is not None else np.zeros(len(hashes), K.U64)
     # one sort by line, rank and leading hash bits; a tie between different words is sorted out in full
     tight = (line.astype(K.U64) << K.U64(38)) | (rank << K.U64(26)) | (hashes >> K.U64(38))
     order = np.argsort(tight)
-    if ((tight[order][1:] == tight[order][:-1]) & (hashes[order][1:] != hashes[order][:-1])).any():
+    tight, sorted_hashes = tight[order], hashes[order]
+    if ((tight[1:] == tight[:-1]) & (sorted_hashes[1:] != sorted_hashes[:-1])).any():
         order = np.lexsort((hashes, rank, line))
     line, hashes = line[order], hashes[order]
     new = np.append(True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])) if len(line) else np.zeros(0, bool)
-    line, hashes = line[new], hashes[new]
+    return line[new], hashes[new]
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> K.U64(46)).astype(np.int64)
+
+
+def _lines(docs: X.Docs, rarity: np.ndarray | None = None) -> Lines:
+    """Tokens in the order of their rarity class and hash; without ``rarity``, of their hash."""
+    _, hashes, line, begin = _line_words(docs)
+    line, hashes = _distinct(line, hashes, rarity)
     head = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
     own = line[head]
     row = np.searchsorted(begin, own, side="right") - 1
     if not len(head):
-        return Lines(row, own, np.zeros(1, np.int64), hashes, hashes, hashes.astype(np.uint32))
+        return Lines(row, own, own, np.zeros(1, np.int64), hashes, hashes, hashes.astype(np.uint32))
     size = np.diff(np.append(head, len(line)))
     total = np.add.reduceat(K.mix(hashes), head)
     other = np.add.reduceat(K.mix(hashes ^ K.U64(0x8EBC6AF09C88C6E3)), head)
-    return Lines(row, own - begin[row], np.append(head, len(line)), hashes, K.mix(total + size.astype(K.U64)), (K.mix(other) >> K.U64(32)).astype(np.uint32))
+    return Lines(row, own - begin[row], own, np.append(head, len(line)), hashes, K.mix(total + size.astype(K.U64)), (K.mix(other) >> K.U64(32)).astype(np.uint32))
+
+
+def _sets(docs: X.Docs, at: np.ndarray, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For lines by their rising numbers in the batch: where their tokens begin (lines + 1), and these tokens.
+    Reads these lines only; each has a word."""
+    breaks, offs = np.flatnonzero(docs.text.buf == 0x0A), docs.text.offs
+    begin = np.searchsorted(breaks, offs[:-1]) + np.arange(len(docs.ids))
+    lines = len(breaks) + len(docs.ids)
+    start, end = np.empty(lines, np.int64), np.empty(lines, np.int64)
+    inner = np.ones(lines, bool)
+    inner[begin] = False
+    start[begin], start[inner] = offs[:-1], breaks + 1
+    last = np.append(begin[1:], lines) - 1
+    inner[:] = True
+    inner[last] = False
+    end[last], end[inner] = offs[1:], breaks
+    size = (end - start)[at]
+    cut = np.append(0, np.cumsum(size))
+    buf = np.empty(int(cut[-1]), np.uint8)
+    for a, b, n, m in zip(start[at].tolist(), end[at].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        buf[n:m] = docs.text.buf[a:b]
+    text = K.Text(buf, cut)
+    words = K.find_words(text)
+    line, tokens = _distinct(K.row_ids(words.row), K.hash_words(text, words), rarity)
+    return np.searchsorted(line, np.arange(len(at) + 1)), tokens
+
+
+def _prefix(n: np.ndarray) -> np.ndarray:
+    """How many of a set's rarest words are sent."""
+    return n - (NUM * n + DEN - 1) // DEN + 1
 
 
 class Classes(NamedTuple):
@@ -100,22 +145,47 @@ def _classes(lines: Lines) -> Classes:
 
 def _send_counts(batch: int, docs: X.Docs) -> list[tuple]:
     words = K.find_words(docs.text)
-    count = np.bincount((K.hash_words(docs.text, words) >> K.U64(46)).astype(np.int64), minlength=SLOTS)
+    count = np.bincount(_slot(K.hash_words(docs.text, words)), minlength=SLOTS)
     return [(k, batch, X.pack(x)) for k, x in enumerate(np.split(count, PARTS))]
 
 
 def _sum_slots(table: pa.Table) -> pa.Table:
-    total = np.sum([X.unpack(x.as_py())[0] for x in table.column("payload")], axis=0)
-    return pa.Table.from_batches([X.rows([(table.column("bucket")[0].as_py(), 0, X.pack(total))])])
+    total = np.zeros(SLOTS // PARTS, np.int64)
+    for x in table.column("payload"):
+        total += X.unpack(x.as_py())[0]
+    return pa.Table.from_batches([X.rows([(table.column("bucket")[0].as_py(), table.column("batch")[0].as_py(), X.pack(total))])])
+
+
+def _slots(sent: DataFrame) -> np.ndarray:
+    """Sums of the slots over all batches, first within groups of batches; collected in PARTS rows of fixed size."""
+    groups = sent.withColumn("batch", F.pmod(F.xxhash64("batch"), F.lit(GROUPS))).groupBy("bucket", "batch").applyInArrow(_sum_slots, X.ROW)
+    summed = groups.groupBy("bucket").applyInArrow(_sum_slots, X.ROW).collect()
+    by_part = {r.bucket: X.unpack(bytes(r.payload))[0] for r in summed}
+    return np.concatenate([by_part.get(k, np.zeros(SLOTS // PARTS, np.int64)) for k in range(PARTS)])
 
 
 def rarity_classes(stored: DataFrame) -> np.ndarray:
-    """For each slot a 12-bit class that grows with the count: two bytes a slot, collected in PARTS rows."""
-    summed = X.first_pass(stored, _send_counts).groupBy("bucket").applyInArrow(_sum_slots, X.ROW).collect()
-    count = np.concatenate([X.unpack(bytes(r.payload))[0] for r in sorted(summed, key=lambda r: r.bucket)]) if summed else np.zeros(SLOTS, np.int64)
+    """For each slot a 12-bit class that grows with the count: two bytes a slot."""
+    count = _slots(X.first_pass(stored, _send_counts))
     return np.minimum(np.log2(1.0 + count) * 100, 4095).astype(np.uint16)
 
 
+def _send_wanted(rarity: np.ndarray):
+    """Marks the slots of the prefix words of undecided classes."""
+
+    def work(batch: int, docs: X.Docs, answers: list[list[np.ndarray]]) -> pa.RecordBatch:
+        if not answers or not answers[0]:
+            return X.rows([])
+        first, tokens = _sets(docs, np.unique(answers[0][0]), rarity)
+        n = np.diff(first)
+        place = np.arange(len(tokens)) - np.repeat(first[:-1], n)
+        marked = np.zeros(SLOTS, np.uint8)
+        marked[_slot(tokens[place < np.repeat(_prefix(n), n)])] = 1
+        return X.rows([(k, batch, X.pack(x)) for k, x in enumerate(np.split(marked, PARTS))])
+
+    return work
+
+
 def _send_sets(buckets: int):
     def send(batch: int, docs: X.Docs) -> list[tuple]:
         lines = _lines(docs)
@@ -153,48 +223,52 @@ def _differ(a: list[np.ndarray], b: list[np.ndarray], wide: np.ndarray) -> np.nd
     return np.where(wide, full, fold)
 
 
-def _send_prefixes(rarity: np.ndarray, buckets: int):
-    """(word; class, size, place, bitmap, document, whether to try) for the prefix words of owned classes."""
+def _send_prefixes(rarity: np.ndarray, buckets: int, wanted: np.ndarray | None = None):
+    """(word; documents, line, size, place, document, whether to try, sketch) for the prefix words of owned classes,
+    each named by its first line; with ``wanted``, for the words in its slots."""
 
     def work(batch: int, docs: X.Docs, answers: list[list[np.ndarray]]) -> pa.RecordBatch:
         lines = _lines(docs, rarity)
         classes = _classes(lines)
-        own = _owned(classes, answers)
-        n = np.diff(lines.first)[classes.first[own]]
+        own = np.sort(classes.first[_owned(classes, answers)])
+        n = np.diff(lines.first)[own]
         own, n = own[n >= NUM // (DEN - NUM)], n[n >= NUM // (DEN - NUM)]  # smaller sets match equals only
         tries = np.ones(len(own), np.uint8)
-        if len(answers) > 1:  # a later round: only what is unsettled tries
-            tries = np.isin(own, answers[1][0] if answers[1] else []).astype(np.uint8)
-        size = n - (NUM * n + DEN - 1) // DEN + 1
+        if wanted is not None:  # a later round: only what is undecided tries
+            tries = np.isin(lines.at[own], answers[1][0] if len(answers) > 1 and answers[1] else []).astype(np.uint8)
+        size = _prefix(n)
         each = np.repeat(np.arange(len(own)), size)
         place = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-        line = classes.first[own[each]]
-        token = lines.tokens[lines.first[line] + place]
+        token = lines.tokens[lines.first[own[each]] + place]
+        if wanted is not None:
+            use = wanted[_slot(token)]
+            each, place, token = each[use], place[use], token[use]
         order = np.argsort(token, kind="stable")
-        ids, doc = np.unique(docs.ids[lines.row[line]], return_inverse=True)
+        ids, doc = np.unique(docs.ids[lines.row[own]], return_inverse=True)
         marks = _sketches(lines)
         at = each[order]
-        routed = X.route(batch, token[order], buckets, own[at].astype(np.uint32), n[at].astype(np.uint32), place[order].astype(np.uint32), doc[order].astype(np.uint32), line[order].astype(np.uint32), tries[at], *(m[line[order]] for m in marks))
+        line = own[at]
+        routed = X.route(batch, token[order], buckets, lines.at[line].astype(np.uint32), n[at].astype(np.uint32), place[order].astype(np.uint32), doc[at].astype(np.uint32), tries[at], *(m[line] for m in marks))
         out = []
         for bucket, name, payload in routed:
-            key, c, m, p, d, l, t, *w = X.unpack(payload)
+            key, c, m, p, d, t, *w = X.unpack(payload)
             used, where = np.unique(d, return_inverse=True)
-            out.append((bucket, name, X.pack(key, ids[used], c, m, p, where.astype(np.uint32), l, t, *w, rising=2)))
+            out.append((bucket, name, X.pack(key, ids[used], c, m, p, where.astype(np.uint32), t, *w, rising=2)))
         return X.rows(out)
 
     return work
 
 
 def _pair_up(skip: int, most: int):
-    """For each batch: (class, batch of the earlier class, that class, whether there were more than ``most``)."""
+    """For each batch: (line, batch of the earlier line, that line), and the lines that had more than ``most``."""
 
     def answer(batches: list[int], sent: list[list[np.ndarray]]) -> tuple[list[bytes | None], list[int]]:
         size = [len(x[0]) for x in sent]
         source = np.repeat(np.arange(len(sent)), size)
-        key, cls, n, place, line, tries, *bits = (np.concatenate([x[k] for x in sent]) for k in (0, 2, 3, 4, 6, 7, *range(8, 8 + SKETCH)))
+        key, line, n, place, tries, *bits = (np.concatenate([x[k] for x in sent]) for k in (0, 2, 3, 4, 6, *range(7, 7 + SKETCH)))
         ids = np.concatenate([x[1][x[5]] for x in sent])
         order = np.lexsort((line, source, ids, key))
-        source, key, cls, n, place, tries, *bits = (x[order] for x in (source, key, cls, n.astype(np.int64), place.astype(np.int64), tries, *bits))
+        source, key, line, n, place, tries, *bits = (x[order] for x in (source, key, line, n.astype(np.int64), place.astype(np.int64), tries, *bits))
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         length = np.diff(np.append(head, len(key)))
         start = np.repeat(head, length)
@@ -221,61 +295,58 @@ def _pair_up(skip: int, most: int):
         out: list[bytes | None] = []
         for b in range(len(batches)):
             mine = source[y] == b
-            pair = np.unique(np.column_stack((cls[y[mine]], np.array(batches, np.int64)[source[x[mine]]], cls[x[mine]])).astype(np.int64), axis=0)
-            extra = np.unique(cls[(source == b) & more]).astype(np.int64)
+            pair = np.unique(np.column_stack((line[y[mine]], np.array(batches, np.int64)[source[x[mine]]], line[x[mine]])).astype(np.int64), axis=0)
+            extra = np.unique(line[(source == b) & more]).astype(np.int64)
             out.append(X.pack(pair[:, 0].copy(), pair[:, 1].copy(), pair[:, 2].copy(), extra) if len(pair) or len(extra) else None)
         return out, []
 
     return answer
 
 
-def _sets(lines: Lines, classes: Classes, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and tokens, one set after another."""
-    line = classes.first[which]
-    size = np.diff(lines.first)[line]
+def _gather(first: np.ndarray, tokens: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and tokens of sets, one after another."""
+    size = np.diff(first)[which]
     run = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    return size, lines.tokens[np.repeat(lines.first[line], size) + run]
+    return size, tokens[np.repeat(first[which], size) + run]
 
 
 def _ship(batch: int, docs: X.Docs, answers: list[list[np.ndarray]]) -> pa.RecordBatch:
-    """The later set of each pair, to the batch of the earlier one; a class that several buckets paired goes once."""
-    if not answers or not answers[0]:
+    """The later set of each pair, to the batch of the earlier one; a line that several buckets paired goes once."""
+    if not answers or not answers[0] or not len(answers[0][0]):
         return X.rows([])
-    lines = _lines(docs)
-    classes = _classes(lines)
     pairs = np.unique(np.column_stack(answers[0][:3]), axis=0)
+    known = np.unique(pairs[:, 0])
+    first, tokens = _sets(docs, known)
     out = []
     for other in np.unique(pairs[:, 1]).tolist():
         mine = pairs[pairs[:, 1] == other]
         own = np.unique(mine[:, 0])
-        size, tokens = _sets(lines, classes, own)
+        size, sets = _gather(first, tokens, np.searchsorted(known, own))
         # a set goes once however many sets there it is to be compared with
-        out.append((batch % (1 << 31), other, X.pack(mine[:, 2].copy(), mine[:, 0].copy(), np.full(len(mine), batch, np.int64), own, np.full(len(own), batch, np.int64), size, tokens)))
+        out.append((batch % (1 << 31), other, X.pack(mine[:, 2].copy(), mine[:, 0].copy(), np.full(len(mine), batch, np.int64), own, np.full(len(own), batch, np.int64), size, sets)))
     return X.rows(out)
 
 
 def _verify(batch: int, docs: X.Docs, answers: list[list[np.ndarray]]) -> pa.RecordBatch:
-    """Compares in full; tells the later class's batch which of its classes have a match."""
+    """Compares in full; tells the later line's batch which of its lines have a match."""
     if not answers or not answers[0]:
         return X.rows([])
-    lines = _lines(docs)
-    classes = _classes(lines)
     earlier, later, source, own, origin, size, tokens = answers[0]
+    here = np.unique(earlier)
+    begin, held = _sets(docs, here)
+    earlier = np.searchsorted(here, earlier)
     known = np.unique(origin)
-    key = lambda where, cls: (np.searchsorted(known, where) << 32) | cls
+    key = lambda where, line: (np.searchsorted(known, where) << 32) | line
     order = np.argsort(key(origin, own))
     place = order[np.searchsorted(key(origin, own)[order], key(source, later))]
-    first, ok = np.cumsum(size) - size, np.zeros(len(earlier), bool)
+    first, ok = np.append(0, np.cumsum(size)), np.zeros(len(earlier), bool)
     for a in range(0, len(earlier), 8192):  # some thousand pairs at a time
-        at = place[a : a + 8192]
-        have, mine = _sets(lines, classes, earlier[a : a + 8192])
-        n = size[at]
-        theirs = tokens[np.repeat(first[at], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-        pair = np.concatenate((np.repeat(np.arange(len(at)), have), np.repeat(np.arange(len(at)), n)))
+        have, mine = _gather(begin, held, earlier[a : a + 8192])
+        n, theirs = _gather(first, tokens, place[a : a + 8192])
+        pair = np.concatenate((np.repeat(np.arange(len(n)), have), np.repeat(np.arange(len(n)), n)))
         both = K.mix(np.concatenate((mine, theirs)) + pair.astype(K.U64) * K.U64(0x9E3779B97F4A7C15))
-        order = np.argsort(both)
-        twice = both[order][1:] == both[order][:-1]
-        shared = np.bincount(pair[order][1:][twice], minlength=len(at))
+        both = both[order := np.argsort(both)]
+        shared = np.bincount(pair[order][1:][both[1:] == both[:-1]], minlength=len(n))
         ok[a : a + 8192] = shared * (NUM + DEN) >= NUM * (have + n)
     return X.rows([(batch % (1 << 31), b, X.pack(np.unique(later[ok & (source == b)]))) for b in np.unique(source[ok]).tolist()])
 
@@ -294,7 +365,7 @@ def _finish(batch: int, docs: X.Docs, answers: list[list[np.ndarray]]) -> pa.Rec
     owned = np.zeros(len(classes.first), bool)
     owned[_owned(classes, answers)] = True
     if len(answers) > 1 and answers[1]:
-        owned[answers[1][0]] = False
+        owned[classes.of[np.searchsorted(lines.at, answers[1][0])]] = False
     gone = np.ones(len(lines.key), bool)
     gone[classes.first[owned]] = False
     n = np.bincount(lines.row, minlength=len(docs.ids))
@@ -319,8 +390,8 @@ def remove_similar_lines(docs: DataFrame) -> DataFrame:
     owners = keep(X.meet(X.first_pass(stored, _send_sets(sizes.buckets)), _match_windows))
     release(docs.sparkSession)
 
-    def round_(skip: int, most: int, unsettled: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-        sent = X.later_pass(stored, [owners, *unsettled], _send_prefixes(rarity, sizes.buckets), X.ROW)
+    def round_(skip: int, most: int, undecided: list[DataFrame], wanted: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
+        sent = X.later_pass(stored, [owners, *undecided], _send_prefixes(rarity, sizes.buckets, wanted), X.ROW)
         pairs = keep(X.meet(sent, _pair_up(skip, most)).where("payload is not null"))
         release(docs.sparkSession)
         return pairs, keep(X.later_pass(stored, [X.later_pass(stored, [pairs], _ship, X.ROW)], _verify, X.ROW))
@@ -329,5 +400,6 @@ def remove_similar_lines(docs: DataFrame) -> DataFrame:
     both = pairs.select(F.lit(0).alias("kind"), "batch", "bucket", "payload").union(matched.select(F.lit(1).alias("kind"), "batch", "bucket", "payload"))
     left = keep(both.groupBy("batch").applyInArrow(_unsettled, X.ROW))
     if not left.isEmpty():
-        matched = matched.union(round_(TRIES, 1 << 60, [left])[1])
+        wanted = _slots(X.later_pass(stored, [left], _send_wanted(rarity), X.ROW)) > 0
+        matched = matched.union(round_(TRIES, 1 << 60, [left], wanted)[1])
     return X.later_pass(stored, [owners, matched], _finish, "doc_id long, n_lines long, n_removed long, kept_sha256 string, removed array<long>")
