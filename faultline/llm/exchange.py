@@ -137,11 +137,16 @@ def store(docs: DataFrame, batch_bytes: int, text: str = "text") -> DataFrame:
     return stored
 
 
-def route(batch: int, keys: np.ndarray, buckets: int, *more: np.ndarray, bits: int = 64) -> list[tuple[int, int, bytes]]:
-    """One row per bucket that has any of the sorted keys; bucket k holds the k-th equal part of the key space."""
+def spans(keys: np.ndarray, buckets: int, bits: int = 64) -> list[tuple[int, slice]]:
+    """The buckets that have any of the sorted keys, with their spans; bucket k holds the k-th equal part of the key space."""
     edges = np.array([min((k << bits) // buckets, 2**64 - 1) for k in range(1, buckets)], K.U64)
     cut = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-    return [(k, batch, pack(keys[a:b], *(x[a:b] for x in more), rising=1)) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+    return [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+
+
+def route(batch: int, keys: np.ndarray, buckets: int, *more: np.ndarray, bits: int = 64) -> list[tuple[int, int, bytes]]:
+    """One row per bucket that has any of the sorted keys."""
+    return [(k, batch, pack(keys[s], *(x[s] for x in more), rising=1)) for k, s in spans(keys, buckets, bits)]
 
 
 def rows(found: list[tuple], names: str = ROW) -> pa.RecordBatch:

@@ -45,7 +45,6 @@ class Lines(NamedTuple):
     """A batch's lines that have words; tokens are their distinct words' hashes, line after line."""
 
     row: np.ndarray  # document of each line
-    number: np.ndarray  # its number in the text
     at: np.ndarray  # its number in the batch
     first: np.ndarray  # lines + 1, into tokens
     tokens: np.ndarray
@@ -58,20 +57,31 @@ def _line_words(docs: X.Docs) -> tuple[K.Words, np.ndarray, np.ndarray, np.ndarr
     words = K.find_words(docs.text)
     breaks = np.flatnonzero(docs.text.buf == 0x0A)
     row = K.row_ids(words.row)
-    line = np.searchsorted(breaks, words.start) + row  # a document ends its last line
-    begin = np.searchsorted(breaks, docs.text.offs[:-1]) + np.arange(len(docs.ids))
-    return words, K.hash_words(docs.text, words), line, begin
+    between = np.diff(np.searchsorted(words.start, breaks), prepend=0, append=len(row))
+    line = np.repeat(np.arange(len(breaks) + 1), between) + row  # a document ends its last line
+    return words, K.hash_words(docs.text, words), line, _begin(docs, breaks)
+
+
+def _begin(docs: X.Docs, breaks: np.ndarray) -> np.ndarray:
+    """Each document's first line, among all lines of the batch."""
+    return np.searchsorted(breaks, docs.text.offs[:-1]) + np.arange(len(docs.ids))
 
 
 def _distinct(line: np.ndarray, hashes: np.ndarray, rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Lines and their distinct tokens, by line, rarity class (where given) and hash."""
-    rank = rarity[_slot(hashes)].astype(K.U64) if rarity is not None else np.zeros(len(hashes), K.U64)
-    # one sort by line, rank and leading hash bits; a tie between different words is sorted out in full
-    tight = (line.astype(K.U64) << K.U64(38)) | (rank << K.U64(26)) | (hashes >> K.U64(38))
+    rank = rarity[_slot(hashes)].astype(K.U64) if rarity is not None else None
+    room = 64 - int(line.max() if len(line) else 0).bit_length()
+    # one sort by line, rank and leading hash bits; lines with a tie between different words are sorted out in full
+    if rank is None:
+        tight = (line.astype(K.U64) << K.U64(room % 64)) | (hashes >> K.U64(64 - room))
+    else:
+        tight = (line.astype(K.U64) << K.U64(room % 64)) | (rank << K.U64(room - 12)) | (hashes >> K.U64(76 - room))
     order = np.argsort(tight)
-    tight, sorted_hashes = tight[order], hashes[order]
-    if ((tight[1:] == tight[:-1]) & (sorted_hashes[1:] != sorted_hashes[:-1])).any():
-        order = np.lexsort((hashes, rank, line))
+    tie = (tight[order[1:]] == tight[order[:-1]]) & (hashes[order[1:]] != hashes[order[:-1]])
+    if tie.any():
+        own = np.flatnonzero(np.isin(line[order], line[order[1:][tie]]))
+        again = order[own]
+        order[own] = again[np.lexsort((hashes[again], line[again]) if rank is None else (hashes[again], rank[again], line[again]))]
     line, hashes = line[order], hashes[order]
     new = np.append(True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])) if len(line) else np.zeros(0, bool)
     return line[new], hashes[new]
@@ -81,26 +91,26 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> K.U64(46)).astype(np.int64)
 
 
-def _lines(docs: X.Docs, rarity: np.ndarray | None = None) -> Lines:
-    """Tokens in the order of their rarity class and hash; without ``rarity``, of their hash."""
+def _lines(docs: X.Docs) -> Lines:
+    """The batch's lines, their tokens in the order of their hashes."""
     _, hashes, line, begin = _line_words(docs)
-    line, hashes = _distinct(line, hashes, rarity)
+    line, hashes = _distinct(line, hashes, None)
     head = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
     own = line[head]
     row = np.searchsorted(begin, own, side="right") - 1
     if not len(head):
-        return Lines(row, own, own, np.zeros(1, np.int64), hashes, hashes, hashes.astype(np.uint32))
+        return Lines(row, own, np.zeros(1, np.int64), hashes, hashes, hashes.astype(np.uint32))
     size = np.diff(np.append(head, len(line)))
     total = np.add.reduceat(K.mix(hashes), head)
     other = np.add.reduceat(K.mix(hashes ^ K.U64(0x8EBC6AF09C88C6E3)), head)
-    return Lines(row, own - begin[row], own, np.append(head, len(line)), hashes, K.mix(total + size.astype(K.U64)), (K.mix(other) >> K.U64(32)).astype(np.uint32))
+    return Lines(row, own, np.append(head, len(line)), hashes, K.mix(total + size.astype(K.U64)), (K.mix(other) >> K.U64(32)).astype(np.uint32))
 
 
 def _sets(docs: X.Docs, at: np.ndarray, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For lines by their rising numbers in the batch: where their tokens begin (lines + 1), and these tokens.
     Reads these lines only; each has a word."""
     breaks, offs = np.flatnonzero(docs.text.buf == 0x0A), docs.text.offs
-    begin = np.searchsorted(breaks, offs[:-1]) + np.arange(len(docs.ids))
+    begin = _begin(docs, breaks)
     lines = len(breaks) + len(docs.ids)
     start, end = np.empty(lines, np.int64), np.empty(lines, np.int64)
     inner = np.ones(lines, bool)
@@ -186,34 +196,65 @@ def _send_wanted(rarity: np.ndarray):
     return work
 
 
+#: The bucket of the rows by which a batch tells itself its lines and their classes.
+INDEX = -1
+
+
 def _send_sets(buckets: int):
+    """The distinct sets to their buckets, and the batch's index: each line's number, its class, first lines."""
+
     def send(batch: int, docs: X.Docs) -> list[tuple]:
         lines = _lines(docs)
-        first = _classes(lines).first
-        ids, place = np.unique(docs.ids[lines.row[first]], return_inverse=True)
-        out = []
-        for bucket, name, payload in X.route(batch, lines.key[first], buckets, lines.low[first], place.astype(np.uint32)):
-            high, low, at = X.unpack(payload)
-            own, where = np.unique(at, return_inverse=True)
-            out.append((bucket, name, X.pack(high, ids[own], low, where.astype(np.uint32), rising=2)))
+        classes = _classes(lines)
+        first = classes.first
+        out: list[tuple] = [(INDEX, batch, X.pack(lines.at, classes.of, first, np.diff(lines.first), rising=1))] if len(first) else []
+        high, low, ids = lines.key[first], lines.low[first], docs.ids[lines.row[first]]
+        for bucket, s in X.spans(high, buckets):
+            used, where = np.unique(ids[s], return_inverse=True)
+            out.append((bucket, batch, X.pack(high[s], used, low[s], where.astype(np.uint32), rising=2)))
         return out
 
     return send
 
 
-def _owned(classes: Classes, answers: list[list[np.ndarray]]) -> np.ndarray:
-    """The classes whose first line in the corpus is in this batch."""
-    return np.flatnonzero(answers[0][0]) if answers and answers[0] else np.zeros(0, np.int64)
+class Index(NamedTuple):
+    """A batch's lines that have words, as its first pass found them."""
+
+    at: np.ndarray  # each line's number in the batch
+    of: np.ndarray  # its class
+    first: np.ndarray  # first line of each class
+    size: np.ndarray  # each line's distinct words
+
 
+def _index(answers: list[list[np.ndarray]]) -> tuple[Index, np.ndarray]:
+    """The index, and the classes whose first line in the corpus is in this batch."""
+    if len(answers) < 2 or not answers[1]:
+        return Index(*(np.zeros(0, np.int64) for _ in Index._fields)), np.zeros(0, np.int64)
+    return Index(*answers[1]), np.flatnonzero(answers[0][0])
 
-def _sketches(lines: Lines) -> list[np.ndarray]:
+
+def _rows(docs: X.Docs, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of lines by their numbers in the batch, and their numbers in the documents."""
+    begin = _begin(docs, np.flatnonzero(docs.text.buf == 0x0A))
+    row = np.searchsorted(begin, at, side="right") - 1
+    return row, at - begin[row]
+
+
+def _sketches(first: np.ndarray, tokens: np.ndarray) -> list[np.ndarray]:
     """Parity sketches, as SKETCH words: each token flips one bit, so two sets differ in at least as many tokens as
     their sketches in bits, however large they are.  Sets over WIDE tokens use all words, others only the first."""
-    if not len(lines.tokens):
+    if not len(tokens):
         return [np.zeros(0, K.U64)] * SKETCH
-    word = np.where(np.repeat(np.diff(lines.first), np.diff(lines.first)) > WIDE, (lines.tokens >> K.U64(6)) & K.U64(SKETCH - 1), 0)
-    bit = K.U64(1) << (lines.tokens & K.U64(63))
-    return [np.bitwise_xor.reduceat(np.where(word == k, bit, K.U64(0)), lines.first[:-1]) for k in range(SKETCH)]
+    bit = K.U64(1) << (tokens & K.U64(63))
+    wide = np.flatnonzero(np.diff(first) > WIDE)
+    out = [np.bitwise_xor.reduceat(bit, first[:-1]), *(np.zeros(len(first) - 1, K.U64) for _ in range(SKETCH - 1))]
+    if len(wide):
+        size, own = _gather(first, tokens, wide)
+        _, flips = _gather(first, bit, wide)
+        word, head = (own >> K.U64(6)) & K.U64(SKETCH - 1), np.cumsum(size) - size
+        for k in range(SKETCH):
+            out[k][wide] = np.bitwise_xor.reduceat(np.where(word == k, flips, K.U64(0)), head)
+    return out
 
 
 def _differ(a: list[np.ndarray], b: list[np.ndarray], wide: np.ndarray) -> np.ndarray:
@@ -223,37 +264,44 @@ def _differ(a: list[np.ndarray], b: list[np.ndarray], wide: np.ndarray) -> np.nd
     return np.where(wide, full, fold)
 
 
+def _touched(docs: X.Docs, at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the lines have any word in the wanted slots."""
+    _, hashes, line, _ = _line_words(docs)
+    return np.isin(at, line[wanted[_slot(hashes)]])
+
+
 def _send_prefixes(rarity: np.ndarray, buckets: int, wanted: np.ndarray | None = None):
     """(word; documents, line, size, place, document, whether to try, sketch) for the prefix words of owned classes,
     each named by its first line; with ``wanted``, for the words in its slots."""
 
     def work(batch: int, docs: X.Docs, answers: list[list[np.ndarray]]) -> pa.RecordBatch:
-        lines = _lines(docs, rarity)
-        classes = _classes(lines)
-        own = np.sort(classes.first[_owned(classes, answers)])
-        n = np.diff(lines.first)[own]
-        own, n = own[n >= NUM // (DEN - NUM)], n[n >= NUM // (DEN - NUM)]  # smaller sets match equals only
+        index, owned = _index(answers)
+        own = np.sort(index.first[owned])
+        own = own[index.size[own] >= NUM // (DEN - NUM)]  # smaller sets match equals only
+        own = index.at[own]
+        if wanted is not None:
+            own = own[_touched(docs, own, wanted)]
+        first, tokens = _sets(docs, own, rarity)
+        n = np.diff(first)
         tries = np.ones(len(own), np.uint8)
         if wanted is not None:  # a later round: only what is undecided tries
-            tries = np.isin(lines.at[own], answers[1][0] if len(answers) > 1 and answers[1] else []).astype(np.uint8)
+            tries = np.isin(own, answers[2][0] if len(answers) > 2 and answers[2] else []).astype(np.uint8)
         size = _prefix(n)
         each = np.repeat(np.arange(len(own)), size)
         place = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-        token = lines.tokens[lines.first[own[each]] + place]
+        token = tokens[first[each] + place]
         if wanted is not None:
             use = wanted[_slot(token)]
             each, place, token = each[use], place[use], token[use]
         order = np.argsort(token, kind="stable")
-        ids, doc = np.unique(docs.ids[lines.row[own]], return_inverse=True)
-        marks = _sketches(lines)
         at = each[order]
-        line = own[at]
-        routed = X.route(batch, token[order], buckets, lines.at[line].astype(np.uint32), n[at].astype(np.uint32), place[order].astype(np.uint32), doc[at].astype(np.uint32), tries[at], *(m[line] for m in marks))
+        token, ids = token[order], docs.ids[_rows(docs, own)[0]][at]
+        carried = [own[at].astype(np.uint32), n[at].astype(np.uint32), place[order].astype(np.uint32), tries[at], *(m[at] for m in _sketches(first, tokens))]
         out = []
-        for bucket, name, payload in routed:
-            key, c, m, p, d, t, *w = X.unpack(payload)
-            used, where = np.unique(d, return_inverse=True)
-            out.append((bucket, name, X.pack(key, ids[used], c, m, p, where.astype(np.uint32), t, *w, rising=2)))
+        for bucket, s in X.spans(token, buckets):
+            used, where = np.unique(ids[s], return_inverse=True)
+            line, size, place, tried, *marks = (x[s] for x in carried)
+            out.append((bucket, batch, X.pack(token[s], used, line, size, place, where.astype(np.uint32), tried, *marks, rising=2)))
         return X.rows(out)
 
     return work
@@ -360,20 +408,20 @@ def _unsettled(table: pa.Table) -> pa.Table:
 
 
 def _finish(batch: int, docs: X.Docs, answers: list[list[np.ndarray]]) -> pa.RecordBatch:
-    lines = _lines(docs)
-    classes = _classes(lines)
-    owned = np.zeros(len(classes.first), bool)
-    owned[_owned(classes, answers)] = True
-    if len(answers) > 1 and answers[1]:
-        owned[classes.of[np.searchsorted(lines.at, answers[1][0])]] = False
-    gone = np.ones(len(lines.key), bool)
-    gone[classes.first[owned]] = False
-    n = np.bincount(lines.row, minlength=len(docs.ids))
-    removed = np.bincount(lines.row[gone], minlength=len(docs.ids))
-    cut = np.searchsorted(lines.row, np.arange(len(docs.ids) + 1))
+    index, own = _index(answers)
+    owned = np.zeros(len(index.first), bool)
+    owned[own] = True
+    if len(answers) > 2 and answers[2]:
+        owned[index.of[np.searchsorted(index.at, answers[2][0])]] = False
+    gone = np.ones(len(index.at), bool)
+    gone[index.first[owned]] = False
+    row, number = _rows(docs, index.at)
+    n = np.bincount(row, minlength=len(docs.ids))
+    removed = np.bincount(row[gone], minlength=len(docs.ids))
+    cut = np.searchsorted(row, np.arange(len(docs.ids) + 1))
     sha, numbers = [], []
     for k, data in enumerate(K.rows_of(docs.text)):
-        drop = lines.number[cut[k] : cut[k + 1]][gone[cut[k] : cut[k + 1]]].tolist()
+        drop = number[cut[k] : cut[k + 1]][gone[cut[k] : cut[k + 1]]].tolist()
         numbers.append(drop)
         if drop:
             lost = set(drop)
@@ -387,11 +435,13 @@ def remove_similar_lines(docs: DataFrame) -> DataFrame:
     sizes = X.plan(docs)
     stored = X.store(docs, sizes.batch_bytes)
     rarity = rarity_classes(stored)
-    owners = keep(X.meet(X.first_pass(stored, _send_sets(sizes.buckets)), _match_windows))
+    sets = keep(X.first_pass(stored, _send_sets(sizes.buckets)))
+    owners = keep(X.meet(sets.where(F.col("bucket") != INDEX), _match_windows))
+    index = sets.where(F.col("bucket") == INDEX)
     release(docs.sparkSession)
 
     def round_(skip: int, most: int, undecided: list[DataFrame], wanted: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
-        sent = X.later_pass(stored, [owners, *undecided], _send_prefixes(rarity, sizes.buckets, wanted), X.ROW)
+        sent = X.later_pass(stored, [owners, index, *undecided], _send_prefixes(rarity, sizes.buckets, wanted), X.ROW)
         pairs = keep(X.meet(sent, _pair_up(skip, most)).where("payload is not null"))
         release(docs.sparkSession)
         return pairs, keep(X.later_pass(stored, [X.later_pass(stored, [pairs], _ship, X.ROW)], _verify, X.ROW))
@@ -402,4 +452,4 @@ def remove_similar_lines(docs: DataFrame) -> DataFrame:
     if not left.isEmpty():
         wanted = _slots(X.later_pass(stored, [left], _send_wanted(rarity), X.ROW)) > 0
         matched = matched.union(round_(TRIES, 1 << 60, [left], wanted)[1])
-    return X.later_pass(stored, [owners, matched], _finish, "doc_id long, n_lines long, n_removed long, kept_sha256 string, removed array<long>")
+    return X.later_pass(stored, [owners, index, matched], _finish, "doc_id long, n_lines long, n_removed long, kept_sha256 string, removed array<long>")
