@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import decontaminate, mixing, quality, simhash, tokenfiles
 from faultline.llm.common import fresh_dir, table
-from faultline.llm.queries import MIX, MIX_OPTIONS, tokenizer_path
+from faultline.llm.queries import CORPUS_OPTIONS, MIX, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,7 +26,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, table(spark, sf_dir, "labels"), MIX, **MIX_OPTIONS)
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), MIX, **CORPUS_OPTIONS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

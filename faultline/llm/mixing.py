@@ -11,7 +11,8 @@ is safe, because the weighted Gram matrix has row sums of one.  An iteration is
 
 Defined results: a null or wordless text has no tokens, keeps its rate (which no total depends on) and is scored
 like any other; with fewer than two labelled domains there is one domain and all rates scale alike; a domain
-with no expected tokens can't be reached and is left out.  Repeated rows get equal rates.
+with no expected tokens can't be reached and is left out.  Repeated rows get equal rates.  Documents with an
+unwanted label value, by their label or else by their posterior, get rate 0 and no part in the fit.
 """
 
 from __future__ import annotations
@@ -161,9 +162,10 @@ def fit_rates(members: DataFrame, targets: dict[int, float], domains: int, round
     return now, have
 
 
-def targets_of(members: DataFrame, domains: tuple[str, ...], weights: dict[str, float], anchor: str | None = None, scale: float = 1.0) -> dict[int, float]:
+def targets_of(members: DataFrame, domains: tuple[str, ...], weights: dict[str, float], anchor: str | None = None, scale: float = 1.0, only_anchor_grows: bool = False) -> dict[int, float]:
     """Token targets in the ratio of ``weights`` (over the domains there are).  In all: ``scale`` times what there
-    is, or, with an ``anchor``, as much as makes the anchor's target ``scale`` times its present total."""
+    is, or, with an ``anchor``, as much as makes the anchor's target ``scale`` times its present total; with
+    ``only_anchor_grows`` no other domain's target exceeds what it has."""
     row = members.agg(*(F.sum(F.col("n_tokens") * F.col("p")[k]) for k in range(len(domains)))).first()
     have = [float(x or 0.0) for x in row]
     share = np.array([weights.get(d, 0.0) if h > 0 else 0.0 for d, h in zip(domains, have, strict=True)])
@@ -171,7 +173,24 @@ def targets_of(members: DataFrame, domains: tuple[str, ...], weights: dict[str,
     total = sum(have) * scale
     if anchor in domains and share[domains.index(anchor)]:
         total = have[domains.index(anchor)] * scale / share[domains.index(anchor)]
-    return dict(enumerate((share * total).tolist()))
+    wanted = (share * total).tolist()
+    if only_anchor_grows:
+        wanted = [w if d == anchor else min(w, h) for d, w, h in zip(domains, wanted, have, strict=True)]
+    return dict(enumerate(wanted))
+
+
+def without(members: DataFrame, labels: DataFrame, domains: tuple[str, ...], unwanted: dict[str, int]) -> tuple[DataFrame, tuple[str, ...]]:
+    """members with gone, whether a document has an unwanted label value, and p over the domains without one.  A
+    label decides where there is one (the unwanted of several), else half of the posterior."""
+    bad = [any(f"_{c}{v}_" in f"_{d}_" for c, v in unwanted.items()) for d in domains]
+    total = lambda flag: sum((F.col("p")[k] for k, b in enumerate(bad) if b == flag), F.lit(0.0))
+    says = F.greatest(*(F.max(F.col(c) == v) for c, v in unwanted.items()), F.lit(None).cast("boolean"))
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(says.alias("_says"))
+    told = members.join(known, members["doc_id"] == known["_id"], "left").withColumn("gone", F.coalesce("_says", total(True) >= 0.5)).drop("_id", "_says")
+    if all(bad):
+        return told.withColumn("p", F.array(F.lit(1.0))), ("all",)
+    share = F.array(*(F.col("p")[k] / F.greatest(total(False), F.lit(1e-300)) for k, b in enumerate(bad) if not b))
+    return told.withColumn("p", share), tuple(d for d, b in zip(domains, bad, strict=True) if not b)
 
 
 def copies(rate: str = "rate", key: str = "doc_id") -> Column:
@@ -180,14 +199,22 @@ def copies(rate: str = "rate", key: str = "doc_id") -> Column:
     return F.floor(F.col(rate) + u).cast("int")
 
 
-def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], columns: tuple[str, ...] = ("quality", "toxic"), anchor: str | None = None, scale: float = 1.0) -> DataFrame:
-    """doc_id, n_tokens, domain (the likeliest), p, rate, copies: a row per document."""
+def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], columns: tuple[str, ...] = ("quality", "toxic"), anchor: str | None = None, scale: float = 1.0, unwanted: dict[str, int] | None = None, only_anchor_grows: bool = False) -> DataFrame:
+    """doc_id, n_tokens, domain (the likeliest), p, rate, copies: a row per document.  Documents with an ``unwanted``
+    label value have rate 0 and no part in the fit."""
     classifier = fit_classifier(docs, labels, columns)
     domains = classifier.domains if classifier else ("all",)
-    members = keep(posteriors(docs, classifier))
-    found, _ = fit_rates(members, targets_of(members, domains, weights, anchor, scale), len(domains))
     name = F.array(*map(F.lit, domains))[F.array_position("p", F.array_max("p")).cast("int") - 1]
-    return found.select("doc_id", "n_tokens", name.alias("domain"), "p", "rate", copies().alias("copies"))
+    members, gone = posteriors(docs, classifier).withColumn("domain", name), None
+    if unwanted:
+        told, domains = without(members, labels, domains, unwanted)
+        told = keep(told)
+        members, gone = told.where("not gone").drop("gone"), told.where("gone").drop("gone").withColumn("rate", F.lit(0.0))
+    else:
+        members = keep(members)
+    found, _ = fit_rates(members, targets_of(members, domains, weights, anchor, scale, only_anchor_grows), len(domains))
+    found = found.unionByName(gone) if gone else found
+    return found.select("doc_id", "n_tokens", "domain", "p", "rate", copies().alias("copies"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], **options) -> DataFrame:

@@ -58,6 +58,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Shares of tokens by domain (the label values), and the domain that grows by a tenth.
 MIX = {"quality1_toxic0": 0.97, "quality1_toxic1": 0.01, "quality0_toxic0": 0.01, "quality0_toxic1": 0.01}
 MIX_OPTIONS = {"anchor": "quality1_toxic0", "scale": 1.1}
+#: A corpus has no toxic documents, and of the other domains only the anchor may grow; the weights are for the rest.
+CORPUS_OPTIONS = {**MIX_OPTIONS, "unwanted": {"toxic": 1}, "only_anchor_grows": True}
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
