@@ -17,7 +17,8 @@ unwanted label value, by their label or else by their posterior, get rate 0 and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -141,7 +142,9 @@ def _dot(step: np.ndarray) -> Column:
 
 
 def fit_rates(members: DataFrame, targets: dict[int, float], domains: int, rounds: int = ROUNDS, close: float = CLOSE) -> tuple[DataFrame, np.ndarray]:
-    """members with a column rate, and the expected totals by domain.  ``targets``: tokens wanted of each domain."""
+    """members with a column rate, and the expected totals by domain.  ``targets``: tokens wanted of each domain.
+    Gradient steps that have not met the targets after ``rounds`` are finished by ``_finish``; targets that no
+    rates meet are approached and warned of."""
     wanted = np.array([targets.get(k, 0.0) for k in range(domains)])
     start = members.withColumn("rate", F.lit(1.0))
     now = start
@@ -152,16 +155,60 @@ def fit_rates(members: DataFrame, targets: dict[int, float], domains: int, round
 
     have = totals(now)
     weight = np.where(have > 0, have, np.inf)
+    reached = np.isfinite(weight)
+    met = lambda have: np.abs(have - wanted)[reached].sum() <= close * max(wanted.sum(), 1.0)
     for k in range(rounds):
-        if np.abs(have - wanted)[np.isfinite(weight)].sum() <= close * max(wanted.sum(), 1.0):
+        if met(have):
             break
         now = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - _dot((have - wanted) / weight)))
         if k % 8 == 7:
             now = keep(now)  # bounds how many steps are replayed
         have = totals(now)
+    if not met(have):
+        now = keep(now)
+        now = _finish(now, wanted, weight, met)
+        have = totals(now)
+        if not met(have):
+            warnings.warn(f"mixing: targets {wanted.tolist()} not met; expected totals are {have.tolist()}", stacklevel=2)
     return now, have
 
 
+def _finish(members: DataFrame, wanted: np.ndarray, weight: np.ndarray, met: Callable[[np.ndarray], bool], rounds: int = 100) -> DataFrame:
+    """The least change of the rates (squares, by tokens) that meets the targets: max(0, rate + p . x), x by damped
+    Newton steps on the convex dual.  A step is one sum of the totals, their Gram matrix and the dual's value.  The
+    ridge keeps x finite where no rates meet the targets; it ends where the dual is at rest."""
+    use = np.flatnonzero(np.isfinite(weight))
+    ridge = np.where(np.isfinite(weight), weight, 0.0)[use] * 1e-9
+
+    def moved(x: np.ndarray) -> DataFrame:
+        return members.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") + _dot(x)))
+
+    def sums(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        n, r, p = F.col("n_tokens"), F.col("rate"), F.col("p")
+        on = F.when(r > 0, n).otherwise(F.lit(0))
+        row = [float(v or 0.0) for v in moved(x).agg(F.sum(n * r * r) / 2, *(F.sum(n * r * p[int(k)]) for k in range(len(wanted))), *(F.sum(on * p[int(i)] * p[int(j)]) for i in use for j in use)).first()]
+        have, gram = np.array(row[1 : 1 + len(wanted)]), np.array(row[1 + len(wanted) :]).reshape(len(use), len(use))
+        value = row[0] - x @ wanted + (ridge * x[use] ** 2).sum() / 2
+        return value, have[use] - wanted[use] + ridge * x[use], gram + np.diag(ridge), have
+
+    x = np.zeros(len(wanted))
+    value, slope, gram, have = sums(x)
+    left = rounds
+    while left > 0 and not met(have):
+        step = np.zeros(len(wanted))
+        step[use] = -np.linalg.lstsq(gram, slope, rcond=None)[0]
+        gain, size, better = float(slope @ step[use]), 1.0, None
+        while left > 0 and size > 1e-6 and better is None:  # halved until the dual falls as it should
+            left -= 1
+            tried = sums(x + size * step)
+            better = tried if tried[0] <= value + 1e-4 * size * gain else None
+            size /= 1 if better else 2
+        if better is None or abs(gain) <= 1e-12 * max(abs(value), 1.0):
+            break
+        x, (value, slope, gram, have) = x + size * step, better
+    return moved(x)
+
+
 def targets_of(members: DataFrame, domains: tuple[str, ...], weights: dict[str, float], anchor: str | None = None, scale: float = 1.0, only_anchor_grows: bool = False) -> dict[int, float]:
     """Token targets in the ratio of ``weights`` (over the domains there are).  In all: ``scale`` times what there
     is, or, with an ``anchor``, as much as makes the anchor's target ``scale`` times its present total; with

@@ -1,5 +1,6 @@
 """Cases that the review of round 1 named."""
 
+import numpy as np
 import pytest
 from test_contracts import rows_of
 
@@ -36,3 +37,17 @@ def test_a_label_decides_before_the_posterior(spark):
     told, domains = mixing.without(members, labels, ("quality1_toxic0", "quality1_toxic1"), {"toxic": 1})
     assert domains == ("quality1_toxic0",) and {r.doc_id: r.gone for r in told.collect()} == {1: True, 2: False, 3: True, 4: False, None: True}
     assert mixing.without(members, labels, ("quality1_toxic1",), {"toxic": 1})[1] == ("all",)
+
+
+def test_fit_goes_on_past_its_gradient_rounds(spark, recwarn):
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 500, 300)
+    a = 0.5 + 0.02 * rng.standard_normal(300)  # domains that hardly differ
+    p = np.stack([a, 1 - a], 1)
+    members = spark.createDataFrame([(k, int(x), y.tolist()) for k, (x, y) in enumerate(zip(n, p, strict=True))], "doc_id long, n_tokens long, p array<double>")
+    wanted = (n[:, None] * p).sum(0) * [1.02, 0.98]
+    out, have = mixing.fit_rates(members, dict(enumerate(wanted)), 2)
+    assert np.allclose(have, wanted, rtol=2e-4) and not [w for w in recwarn if "mixing" in str(w.message)]
+    assert out.agg({"rate": "min"}).first()[0] >= 0
+    with pytest.warns(UserWarning, match="not met"):
+        mixing.fit_rates(members, {0: 1000.0, 1: 0.0}, 2)
