@@ -116,14 +116,34 @@ class Encoder:
                 self.clear()
                 missing = np.arange(len(keys))
             new, one = np.unique(keys[missing], return_index=True)
+            if len(new) > MOST:  # more than the table takes: by slices at chunk ends
+                return self._sliced(text, start, ends, keys)
             spans = missing[one]
             data = text.buf.tobytes()
             self.add(new, [data[a:b] for a, b in zip(start[spans].tolist(), ends[spans].tolist(), strict=True)])
             entry = self.find(keys)
+        ids, before = self._taken(entry)
+        return ids, before[np.searchsorted(ends, text.offs, side="right")]
+
+    def _taken(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries' ids one after another, and where each entry's begin."""
         size = self.first[entry + 1] - self.first[entry]
         before = np.concatenate(([0], np.cumsum(size)))
-        ids = self.ids[np.repeat(self.first[entry] - before[:-1], size) + np.arange(before[-1])]
-        return ids, before[np.searchsorted(ends, text.offs, side="right")]
+        return self.ids[np.repeat(self.first[entry] - before[:-1], size) + np.arange(before[-1])], before
+
+    def _sliced(self, text: K.Text, start: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` with a cleared table for each ``MOST`` chunks."""
+        data, ids, before = text.buf.tobytes(), [], [np.zeros(1, np.int64)]
+        for a in range(0, len(keys), MOST):
+            own = keys[a : a + MOST]
+            self.clear()
+            new, one = np.unique(own, return_index=True)
+            self.add(new, [data[x:y] for x, y in zip(start[a + one].tolist(), ends[a + one].tolist(), strict=True)])
+            taken, at = self._taken(self.find(own))
+            ids.append(taken)
+            before.append(at[1:] + before[-1][-1])
+        return np.concatenate(ids), np.concatenate(before)[np.searchsorted(ends, text.offs, side="right")]
+
 
 
 _encoders: dict[str, Encoder] = {}

@@ -1,11 +1,13 @@
 """Cases that the review of round 1 named."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_contracts import rows_of
 
 import corpus_pipeline
-from faultline.llm import mixing
+from faultline.llm import kernels as K
+from faultline.llm import mixing, queries, tokenfiles
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +53,14 @@ def test_fit_goes_on_past_its_gradient_rounds(spark, recwarn):
     assert out.agg({"rate": "min"}).first()[0] >= 0
     with pytest.warns(UserWarning, match="not met"):
         mixing.fit_rates(members, {0: 1000.0, 1: 0.0}, 2)
+
+
+def test_more_chunks_than_the_table_takes(monkeypatch):
+    texts = K.text_of(pa.array(["", " ".join(f"w{k} same" for k in range(300)), "w1 w2 new", "tail"]))
+    ids, first = tokenfiles.Encoder(queries.tokenizer_path()).encode(texts)
+    monkeypatch.setattr(tokenfiles, "SLOTS", 128)
+    monkeypatch.setattr(tokenfiles, "MOST", 64)
+    small = tokenfiles.Encoder(queries.tokenizer_path())
+    for _ in range(2):
+        got = small.encode(texts)
+        assert got[0].tolist() == ids.tolist() and got[1].tolist() == first.tolist()
