@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Tuning
 from ..functions import header, normalize, time
 from ..functions.exception import terminal_identity
+from .learner import with_keys
 
 
 def ordered(events: DataFrame) -> DataFrame:
@@ -18,9 +19,12 @@ def ordered(events: DataFrame) -> DataFrame:
 
 def parse(events: DataFrame) -> DataFrame:
     """Adds the header's fields and the terminal exception; events without a complete header are dropped."""
-    out = header.parse(events).where("timestamp is not null")
+    return _parsed(events).where("timestamp is not null")
+
+
+def _parsed(events: DataFrame) -> DataFrame:
     identity = terminal_identity(F.col("text"), F.col("message"))
-    return out.withColumn("_id", identity).withColumns({"terminal_exception": F.col("_id.exception"), "terminal_frame": F.col("_id.frame")}).drop("_id")
+    return header.parse(events).withColumn("_id", identity).withColumns({"terminal_exception": F.col("_id.exception"), "terminal_frame": F.col("_id.frame")}).drop("_id")
 
 
 def select(parsed: DataFrame, levels: tuple[str, ...]) -> DataFrame:
@@ -36,7 +40,10 @@ def tokenize(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("tokens", normalize.normalize(F.col("message"))).withColumn("token_count", F.size("tokens"))
 
 
-def prepare(events: DataFrame, tuning: Tuning, arrival: Column | None = None) -> DataFrame:
-    """All of the above.  ``arrival`` stands in for instants that a stamp does not give; now, unless it is given."""
-    zone = tuning.timezone if tuning.timezone != "local" else events.sparkSession.conf.get("spark.sql.session.timeZone")
-    return tokenize(interpret(select(parse(ordered(events)), tuning.levels), zone, F.current_timestamp() if arrival is None else arrival))
+def prepare(rows: DataFrame, tuning: Tuning, arrival: Column | None = None) -> DataFrame:
+    """All of the above for rows with a text, and the learner's keys.  Events of other levels go; rows without a
+    complete header stay, with no timestamp.  ``arrival`` stands in for instants that a stamp does not give; now,
+    unless it is given."""
+    zone = tuning.timezone if tuning.timezone != "local" else rows.sparkSession.conf.get("spark.sql.session.timeZone")
+    kept = _parsed(rows).where(F.col("level").isNull() | F.col("level").isin(*tuning.levels))
+    return with_keys(tokenize(interpret(kept, zone, F.current_timestamp() if arrival is None else arrival)))

@@ -1,13 +1,16 @@
 """Template learning, bucket by bucket.
 
-``Store`` is the sequential model of one bucket.  ``learn`` runs it over distinct token vectors: once a vector
-has been matched or has made a template, some live template fits it exactly for good, so repeats change nothing
-and only each vector's first event goes to Python.  What may change is which template a repeat goes to, so a
-vector's assignment is a list of intervals of the event order, and events find theirs by a range join.  A bucket
-that was full for a vector loses that property and is learned again from all its events.
-
-A removed template's slot stays empty, so slots are stable names.  ``lineage`` says since when a slot's events
-count as another's.
+``Store`` is the sequential model of one bucket.  Once a vector of tokens has been matched or has made a template, some
+live template fits it exactly for good, so repeats change nothing and only each vector's first event goes to Python.
+What may change is which template a repeat goes to, so a vector's assignment is a list of intervals of the event order,
+and events find theirs by a range join on the vector's 128-bit key.
+
+A vector that meets a full bucket, or a full set of groups, stays unlearned until a template fits it or there is room;
+the change that makes it so is noticed.  Only where that happens is a bucket learned once more, with all events of its
+unlearned vectors and the first events of the others.
+
+A removed template's slot stays empty, so slots are stable names; a slot's key is the event that created it, and a
+group's is that of its oldest slot.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..config import Tuning
 from ..functions.normalize import WILDCARD
+from ..session import stage
 
 BUCKET = ("level", "logger", "terminal_exception", "terminal_frame", "token_count")
 END_OF_TIME = 2**63 - 1
@@ -106,134 +110,187 @@ class Store:
         return Outcome(CREATED, len(self.slots) - 1, ())
 
 
-class Log:
-    """What one bucket's learning leaves: assignment intervals, templates, creations and lineage."""
-
-    def __init__(self) -> None:
-        self.rows: list[tuple] = []  # (kind, seq, until, tokens, slot, other)
-
-    def add(self, kind: str, seq: int, until: int | None, tokens: list[str] | None, slot: int | None, other: int | None = None) -> None:
-        self.rows.append((kind, seq, until, tokens, slot, other))
-
-
-LOG = "kind string, seq long, until long, tokens array<string>, slot int, other int"
-
-
-def run_bucket(events: Iterator[tuple[int, tuple[str, ...]]], store: Store, distinct: bool) -> Log:
-    """Feed events in order.  With ``distinct`` each vector comes once and its later moves are followed; without,
-    every event comes and its own outcome is its assignment."""
-    log, since, at = Log(), {}, {}
-    joined: dict[int, set[int]] = {}  # slot: the slots whose events count as its
-    for seq, tokens in events:
-        got = store.learn(tokens)
+_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+#: key, grp and dest are creating events' seqs: of the slot, of its group in the end, of the other slot.
+LOG = "kind string, seq long, until long, tokens array<string>, slot int, other int, key long, grp long, dest long, v1 long, v2 long, level string, logger string, terminal_exception string, terminal_frame string, token_count int"
+ARROW = pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in LOG.split(", ")])
+ASSIGNED, AGAIN, ONCE = "assigned", "again", "once"
+
+
+class Bucket:
+    """One bucket's learning: its templates, where its vectors go, and what it leaves.
+
+    Rows are (kind, seq, until, tokens, slot, other): assignment intervals, templates, creations, merges, and lineage,
+    which says since when a slot's events count as another's."""
+
+    def __init__(self, store: Store) -> None:
+        self.store = store
+        self.rows: list[tuple] = []
+        self.at: dict[tuple, int] = {}  # learned vectors, and their slots
+        self.since: dict[tuple, int] = {}
+        self.learned: dict[tuple, int] = {}
+        self.waiting: dict[tuple, tuple[str, int]] = {}  # the others: why, and since when
+        self.made: dict[int, int] = {}  # slot: the event that created it
+        self.joined: dict[int, set[int]] = {}  # slot: the slots whose events count as its
+
+    def add(self, kind: str, seq: int, until: int | None, tokens: tuple | None, slot: int | None, other: int | None = None) -> None:
+        self.rows.append((kind, seq, until, list(tokens) if tokens is not None else None, slot, other))
+
+    def feed(self, seq: int, tokens: tuple[str, ...], room: bool = True) -> Outcome | None:
+        """The next event, unless its vector is learned already; ``room``: whether another group may be created."""
+        if tokens in self.at:
+            return None
+        got = self.store.learn(tokens, room)
+        why, since = self.waiting.get(tokens, (got.kind, seq))
+        if why != got.kind:
+            self.add(why, since, seq - 1, tokens, None)
+            del self.waiting[tokens]
+        if got.slot is None:
+            self.waiting.setdefault(tokens, (got.kind, seq))
+            return got
         if got.kind == CREATED:
-            log.add("created", seq, None, list(tokens), got.slot)
-            joined[got.slot] = {got.slot}
+            self.add(CREATED, seq, None, tokens, got.slot)
+            self.joined[got.slot], self.made[got.slot] = {got.slot}, seq
         for m in got.merges:
-            log.add("merged", seq, None, None, m.survivor, m.removed)
-            for k in joined[m.removed]:
-                log.add("lineage", seq, None, None, k, m.survivor)
-            joined[m.survivor] |= joined.pop(m.removed)
-        if not distinct:
-            log.add("assigned" if got.slot is not None else got.kind, seq, seq, list(tokens), got.slot)
-            continue
+            self.add("merged", seq, None, None, m.survivor, m.removed)
+            for k in self.joined[m.removed]:
+                self.add("lineage", seq, None, None, k, m.survivor)
+            self.joined[m.survivor] |= self.joined.pop(m.removed)
         if got.changed:  # something may fit earlier vectors better now
-            for v, slot in list(at.items()):
-                if slot is not None and (now := store.best(v)) != slot:
-                    log.add("assigned", since[v], seq, list(v), slot)
-                    since[v], at[v] = seq + 1, now
-        since[tokens], at[tokens] = seq, got.slot
-        if got.slot is None:
-            log.add(got.kind, seq, None, list(tokens), None)
-    for v, slot in at.items():
-        if slot is not None:
-            log.add("assigned", since[v], END_OF_TIME, list(v), slot)
-    for k, template in enumerate(store.slots):
-        if template is not None:
-            log.add("template", 0, None, list(template), k)
-    return log
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [[] for _ in ARROW]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
-
-
-def _grouped(threshold: float, cap: int, distinct: bool):
+            for v, slot in self.at.items():
+                if (now := self.store.best(v)) != slot:
+                    self.add(ASSIGNED, self.since[v], seq, v, slot)
+                    self.since[v], self.at[v] = seq + 1, now
+        self.since[tokens], self.at[tokens], self.learned[tokens] = seq, got.slot, seq
+        return got
+
+    def learnable(self, room: bool) -> bool:
+        """Whether a template, or room for one, has been made for a vector that waits."""
+        return bool(self.waiting) and ((room and self.store.live < self.store.cap) or any(self.store.best(v) is not None for v in self.waiting))
+
+    def close(self) -> None:
+        for v, slot in self.at.items():
+            self.add(ASSIGNED, self.since[v], END_OF_TIME, v, slot)
+        for v, (why, since) in self.waiting.items():
+            self.add(why, since, END_OF_TIME, v, None)
+        for k, template in enumerate(self.store.slots):
+            if template is not None:
+                self.add("template", self.made[k], None, template, k)
+
+
+def run_bucket(events: Iterator[tuple[int, tuple[str, ...]]], store: Store, distinct: bool) -> Bucket:
+    """Feed events in order.  With ``distinct`` each vector comes once; without, every event comes and its own outcome
+    is its assignment, which is the plain reading of the rules."""
+    bucket = Bucket(store)
+    for seq, tokens in events:
+        got = bucket.feed(seq, tokens)
+        if not distinct:
+            bucket.add(ASSIGNED if got.slot is not None else got.kind, seq, seq, tokens, got.slot)
+            bucket.at.clear()
+            bucket.waiting.clear()
+    if distinct:
+        bucket.close()
+    return bucket
+
+
+class Learning:
+    """Buckets that share a cap on live groups, fed in the order of events.  With ``watch`` vectors come once; from the
+    change on at which one that waits could be learned, nothing more is."""
+
+    def __init__(self, threshold: float, cap: int, max_groups: int | None, watch: bool) -> None:
+        self.new = lambda: Bucket(Store(threshold, cap))
+        self.most, self.watch = max_groups, watch
+        self.buckets: dict[tuple, Bucket] = {}
+        self.live, self.stale = 0, False
+        self.later: list[tuple[tuple, tuple]] = []
+
+    def _room(self) -> bool:
+        return self.most is None or self.live < self.most
+
+    def feed(self, seq: int, name: tuple, tokens: tuple[str, ...]) -> None:
+        if self.stale:
+            self.later.append((name, tokens))
+            return
+        bucket = self.buckets.get(name) or self.buckets.setdefault(name, self.new())
+        before = self._room()
+        got = bucket.feed(seq, tokens, before)
+        if got is None:
+            return
+        self.live += (got.kind == CREATED) - len(got.merges)
+        if self.watch and got.changed:
+            freed = self._room() and not before
+            self.stale = any(b.learnable(self._room()) for b in (self.buckets.values() if freed else (bucket,)))
+
+    def rows(self, key: dict[tuple, tuple[int, int]]) -> Iterator[tuple]:
+        """Rows of the log; ``key`` is what 128-bit key a bucket's vector has."""
+        none = (None,) * 6
+        for name, b in self.buckets.items():
+            if self.stale:
+                yield from ((ONCE, seq, None, list(v), *none[:5], *key[name, v], *name) for v, seq in b.learned.items())
+                yield from ((AGAIN, 0, *none, None, *key[name, v], *name) for v in b.waiting)
+                continue
+            b.close()
+            end = {k: slot for slot, members in b.joined.items() for k in members}
+            for kind, seq, until, tokens, slot, other in b.rows:
+                spans = kind in (ASSIGNED, CAPACITY, REJECTED)
+                group = b.made[end[slot]] if slot is not None else None
+                yield (kind, seq, until, None if spans else tokens, slot, other, b.made.get(slot), group, b.made.get(other), *(key[name, tuple(tokens)] if spans else none[:2]), *name)
+        yield from ((AGAIN, 0, *none, None, *key[name, v], *name) for name, v in self.later)
+
+
+def _learner(tuning: Tuning, max_groups: int | None, watch: bool):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seq")
-        bucket = tuple(table.column(c)[0].as_py() for c in BUCKET)
-        events = zip(table.column("seq").to_pylist(), map(tuple, table.column("tokens").to_pylist()), strict=True)
-        log = run_bucket(events, Store(threshold, cap), distinct)
-        return _table([(*row, *bucket) for row in log.rows])
+        learning, key = Learning(tuning.similarity, tuning.bucket_cap, max_groups, watch), {}
+        for part in table.sort_by("seq").to_batches(1 << 14):
+            for seq, v1, v2, tokens, *name in zip(*(part.column(c).to_pylist() for c in ("seq", "v1", "v2", "tokens", *BUCKET)), strict=True):
+                at = (tuple(name), tuple(tokens))
+                key[at] = (v1, v2)
+                learning.feed(seq, *at)
+        columns = list(zip(*learning.rows(key), strict=True)) or [[] for _ in ARROW]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
 
     return run
 
 
-SCHEMA = LOG + ", level string, logger string, terminal_exception string, terminal_frame string, token_count int"
-ARROW = pa.schema([("kind", pa.string()), ("seq", pa.int64()), ("until", pa.int64()), ("tokens", pa.list_(pa.string())), ("slot", pa.int32()), ("other", pa.int32()), *((c, pa.string()) for c in BUCKET[:4]), ("token_count", pa.int32())])
-
-
-def _capped(threshold: float, cap: int, max_groups: int):
-    """All buckets in one ordered pass, for when the number of live groups reaches its cap."""
-
-    def run(table: pa.Table) -> pa.Table:
-        stores: dict[tuple, Store] = {}
-        joined: dict[tuple, dict[int, set[int]]] = {}
-        live, out = 0, []
-        for row in table.sort_by("seq").to_pylist():
-            bucket = tuple(row[c] for c in BUCKET)
-            seq, tokens = row["seq"], tuple(row["tokens"])
-            store = stores.setdefault(bucket, Store(threshold, cap))
-            slots = joined.setdefault(bucket, {})
-            got = store.learn(tokens, live < max_groups)
-            if got.kind == CREATED:
-                live += 1
-                slots[got.slot] = {got.slot}
-                out.append(("created", seq, None, list(tokens), got.slot, None, *bucket))
-            for m in got.merges:
-                live -= 1
-                out.append(("merged", seq, None, None, m.survivor, m.removed, *bucket))
-                out += [("lineage", seq, None, None, k, m.survivor, *bucket) for k in slots[m.removed]]
-                slots[m.survivor] |= slots.pop(m.removed)
-            out.append(("assigned" if got.slot is not None else got.kind, seq, seq, list(tokens), got.slot, None, *bucket))
-        for bucket, store in stores.items():
-            out += [("template", 0, None, list(t), k, None, *bucket) for k, t in enumerate(store.slots) if t is not None]
-        return _table(out)
-
-    return run
+def with_keys(events: DataFrame) -> DataFrame:
+    """Adds v1 and v2, a 128-bit key of each event's bucket and tokens."""
+    parts = [p for c in BUCKET for p in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    return events.withColumns({f"v{k}": F.xxhash64(F.lit(k), *parts, "tokens") for k in (1, 2)})
 
 
 def most_live(log: DataFrame) -> int:
     """The largest number of live groups at any time: a running sum over creations and merges only."""
-    steps = log.where("kind in ('created', 'merged')").select("seq", F.when(F.col("kind") == "created", 1).otherwise(-1).alias("d"), (F.col("kind") == "merged").alias("late"))
+    steps = log.where("kind in ('created', 'merged')").select("seq", F.when(F.col("kind") == CREATED, 1).otherwise(-1).alias("d"), (F.col("kind") == "merged").alias("late"))
     live = F.sum("d").over(Window.orderBy("seq", "late").rowsBetween(Window.unboundedPreceding, 0))
     return steps.select(live.alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def learn(events: DataFrame, tuning: Tuning) -> DataFrame:
-    """The learning log, exact under the cap on live groups as well.  As long as the cap is not reached, buckets
-    do not see each other; once it is, what is created depends on all of them, and one ordered pass follows."""
-    log = learn_buckets(events, tuning).persist()  # one row per distinct message, template and merge; every later step reads it
-    created = log.where("kind = 'created'").limit(tuning.max_groups + 1).count()
+    """The learning log of events (seq, v1, v2, tokens, bucket columns), staged.  As long as the cap on live groups is
+    not reached, buckets do not see each other; once it is, what is created depends on all of them, and their distinct
+    vectors are learned in one ordered pass."""
+    columns = ["seq", "v1", "v2", "tokens", *BUCKET]
+    vectors = stage(events.groupBy("v1", "v2", "tokens", *BUCKET).agg(F.min("seq").alias("seq")).select(*columns), "vectors")
+
+    def run(scope: list, most: int | None) -> DataFrame:
+        log = stage(vectors.groupBy(*scope).applyInArrow(_learner(tuning, most, True), LOG), "log")
+        again = log.where(F.col("kind") == AGAIN)
+        if again.isEmpty():
+            return log
+        every = events.select(*columns).join(again.select("v1", "v2"), ["v1", "v2"], "left_semi").select(*columns)
+        once = log.where(F.col("kind") == ONCE).select(*columns)
+        redone = every.unionByName(once).groupBy(*scope).applyInArrow(_learner(tuning, most, False), LOG)
+        return stage(log.where(~F.col("kind").isin(AGAIN, ONCE)).unionByName(redone), "log")
+
+    log = run(list(BUCKET), None)
+    created = log.where(F.col("kind") == CREATED).limit(tuning.max_groups + 1).count()
     if created > tuning.max_groups and most_live(log) > tuning.max_groups:
-        return events.select(*BUCKET, "tokens", "seq").groupBy(F.lit(0)).applyInArrow(_capped(tuning.similarity, tuning.bucket_cap, tuning.max_groups), SCHEMA)
+        return run([F.lit("all")], tuning.max_groups)
     return log
 
 
-def learn_buckets(events: DataFrame, tuning: Tuning) -> DataFrame:
-    """The learning log of events (bucket columns, tokens, seq), each bucket by itself."""
-    first = events.groupBy(*BUCKET, "tokens").agg(F.min("seq").alias("seq"))
-    log = first.groupBy(*BUCKET).applyInArrow(_grouped(tuning.similarity, tuning.bucket_cap, True), SCHEMA)
-    full = log.where(F.col("kind") == CAPACITY).select(*(F.col(c).alias(f"_{c}") for c in BUCKET)).distinct()
-    same = lambda df: [df[c].eqNullSafe(full[f"_{c}"]) for c in BUCKET]
-    again = events.select(*BUCKET, "tokens", "seq").join(full, same(events), "left_semi")
-    redone = again.groupBy(*BUCKET).applyInArrow(_grouped(tuning.similarity, tuning.bucket_cap, False), SCHEMA)
-    return log.join(full, same(log), "left_anti").unionByName(redone)
-
-
 def assign(events: DataFrame, log: DataFrame) -> DataFrame:
-    """Events with their slot at the time and outcome (assigned, capacity, rejected)."""
-    spans = log.where(F.col("kind").isin("assigned", CAPACITY, REJECTED)).select(*(F.col(c).alias(f"_{c}") for c in (*BUCKET, "tokens")), F.col("seq").alias("_from"), F.coalesce("until", "seq").alias("_to"), "slot", F.col("kind").alias("outcome"))
-    on = [events[c].eqNullSafe(spans[f"_{c}"]) for c in BUCKET] + [events["tokens"] == spans["_tokens"], events["seq"].between(spans["_from"], spans["_to"])]
-    return events.join(spans, on).select(*events.columns, "slot", "outcome")
+    """Events with their slot's key, their group in the end, and outcome (assigned, capacity, rejected)."""
+    spans = log.where(F.col("kind").isin(ASSIGNED, CAPACITY, REJECTED)).select(F.col("v1").alias("_v1"), F.col("v2").alias("_v2"), F.col("seq").alias("_from"), F.col("until").alias("_to"), "key", "grp", F.col("kind").alias("outcome"))
+    on = [events["v1"] == spans["_v1"], events["v2"] == spans["_v2"], events["seq"].between(spans["_from"], spans["_to"])]
+    return events.join(spans, on).select(*events.columns, "key", "grp", "outcome")

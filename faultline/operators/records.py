@@ -17,7 +17,6 @@ from ..functions.redact import redact, redact_request
 from ..functions.text import head_bytes
 from ..functions.time import rfc3339
 from .groups import Analysis
-from .learner import BUCKET
 
 VERSION = 1
 STDERR_BYTES = 64 << 10
@@ -59,7 +58,7 @@ def created(analysis: Analysis, ids: DataFrame, session: str, tuning: Tuning, ra
     from ..functions.redact import redact_sample
     from ..functions.text import capture
 
-    first = analysis.events.join(analysis.log.where("kind = 'created'").select("seq"), "seq", "left_semi").join(ids, "seq")
+    first = analysis.events.join(analysis.log.where("kind = 'created'").select("seq").join(ids, "seq"), "seq")
     clean = lambda c: redact(F.col(c), tuning.extra_patterns)
     rows = first.withColumn("_s", capture(redact_sample(F.col("text"), raw_sample, tuning.extra_patterns), tuning.sample_max_bytes))
     impulse = lambda h: F.round(F.lit(0.6931471805599453 / h), 3)
@@ -77,14 +76,9 @@ def created(analysis: Analysis, ids: DataFrame, session: str, tuning: Tuning, ra
 
 def merged(analysis: Analysis, ids: DataFrame, session: str, emitted_at: Column | None = None) -> DataFrame:
     """(seq, value): a record for each merge.  The surviving group's figures are those of its final state."""
-    from .groups import survivors
-
-    ends = survivors(analysis.log).join(ids.withColumnRenamed("seq", "created_seq"), "created_seq")
-    keep = ends.select(*(F.col(c).alias(f"_{c}") for c in BUCKET), F.col("slot").alias("_slot"), F.col("final").alias("_final"), F.col("id").alias("_own"))
-    steps = analysis.log.where("kind = 'merged'").select(*BUCKET, "seq", F.col("other").alias("slot"))
-    rows = steps.join(keep, [steps[c].eqNullSafe(keep[f"_{c}"]) for c in (*BUCKET, "slot")]).select(*BUCKET, "seq", F.col("_final").alias("final"), "_own")
-    least = ends.groupBy(*BUCKET, "final").agg(F.min("id").alias("_id")).select(*(F.col(c).alias(f"_{c}") for c in (*BUCKET, "final")), "_id")
-    rows = rows.join(least, [rows[c].eqNullSafe(least[f"_{c}"]) for c in (*BUCKET, "final")]).select("seq", F.col("_own").alias("removed_id"), F.col("_id").alias("id"))
+    names = ids.select(F.col("seq").alias("_seq"), F.col("id").alias("_id"))
+    rows = analysis.log.where("kind = 'merged'").select("seq", "grp", "dest")
+    rows = rows.join(names, F.col("dest") == F.col("_seq")).select("seq", "grp", F.col("_id").alias("removed_id")).join(names, F.col("grp") == F.col("_seq")).select("seq", "removed_id", F.col("_id").alias("id"))
     full = rows.join(analysis.groups, "id")
     fields = _group() | {"removed_id": F.col("removed_id"), "sample": F.col("sample"), "sample_truncated": F.col("sample_truncated")}
     return full.select("seq", _json("group_merged", session, fields, emitted_at).alias("value"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..config import Tuning
 from ..operators import events as ev
 from ..operators import groups as gr
 from ..operators import learner
-from ..operators.framing import frame
-from ..session import prepare
+from ..operators.framing import frames
+from ..session import prepare, stage
 
 
 @dataclass(frozen=True)
@@ -25,15 +26,17 @@ class Run:
 
 
 def analyze(lines: DataFrame, tuning: Tuning | None = None, arrival: Column | None = None, mutes: DataFrame | None = None, raw_sample: bool = False) -> Run:
-    """``arrival`` is the instant for stamps that give none; pass a literal for repeatable results."""
+    """``arrival`` is the instant for stamps that give none; pass a literal for repeatable results.  Lines are framed,
+    parsed and written in one stage; all else is built on what it wrote."""
     t = tuning or Tuning()
     prepare(lines.sparkSession)
-    events, diagnostics = frame(lines, t)
-    return Run(analyze_events(events, t, arrival, mutes, raw_sample), diagnostics)
+    found = frames(lines, t, lambda rows: ev.prepare(rows, t, arrival))
+    events = found.events.withColumn("seq", F.col("rank") * F.lit(1 << 40) + F.col("seq")).where("timestamp is not null")
+    return Run(gr.aggregate(events, learner.learn(events, t), t, mutes, raw_sample), found.diagnostics)
 
 
 def analyze_events(events: DataFrame, tuning: Tuning | None = None, arrival: Column | None = None, mutes: DataFrame | None = None, raw_sample: bool = False) -> gr.Analysis:
     t = tuning or Tuning()
     prepare(events.sparkSession)
-    prepared = ev.prepare(events, t, arrival).persist()  # framing and parsing run once
+    prepared = stage(ev.prepare(ev.ordered(events), t, arrival).where("timestamp is not null"), "events")
     return gr.aggregate(prepared, learner.learn(prepared, t), t, mutes, raw_sample)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import Tuning
 from ..functions import exception, header, normalize, rate, time
-from ..functions.redact import PATTERNS, MARK, redact
+from ..functions.redact import MARK, PATTERNS, redact
 from ..functions.text import capture, escape_visible, head_bytes
 from ..operators import events as ev
 from ..operators import framing, groups, learner, records, views
@@ -211,7 +211,7 @@ def ndjson_updated(spark, sf_dir):
 
 def ndjson_created(spark, sf_dir):
     found = _groups(spark, sf_dir, body=STACK)
-    ids = groups._ids(found.log, found.events)
+    ids = groups._ids(found.log, found.facts)
     return records.created(found, ids, "00000000-0000-4000-8000-000000000000", ALL, emitted_at=F.lit("2024-02-01").cast("timestamp")).select("value")
 
 

@@ -22,6 +22,13 @@ def numbered(lines: DataFrame) -> DataFrame:
     return joined.withColumns({"line_no": F.col("_n0") + F.col("_k") + 1, "offset": F.col("_b0") + F.col("_o")}).drop("_k", "_o", "_n0", "_b0", "pos")
 
 
+def scan_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(source_id, block, raw, size), size being the file's: lines as they are scanned, which is what framing needs.
+    A partition's rows are whole blocks, each in its order."""
+    scan = spark.read.option("lineSep", "\n").text(path)
+    return scan.select(F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_size").alias("size"))
+
+
 def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(source_id, block, line_no, offset, raw, size, ended): a row per line; raw has no newline, size counts it,
     ended says whether there is one.  Files are split only at newlines; bytes are kept as they are."""

@@ -1,182 +1,121 @@
-"""Framing of byte chunks, one source at a time, with the sequential rules that batch framing states as windows.
+"""Framing of byte chunks, one source at a time, for streams.
 
-``Framer`` is the model: chunks in, events and diagnostics out, everything bounded by the caps.  On a stream it
-is the state of a keyed processor with a processing-time timer: two seconds without bytes flush what is pending.
+``Framer`` is a fold over lines: each is a header, part of the event in hand, or loose, and the event in hand is the
+``Held`` that batch framing uses, so caps and cuts are the same.  On a stream it is the state of a keyed processor with
+a processing-time timer: two seconds without bytes flush what is in hand; a chunk with no bytes ends its source.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import Tuning
-from ..operators.framing import BYTE_LIMIT, INVALID, LATE, LINE_LIMIT, PREFIX, utf8_faults
+from ..operators.caps import INVALID, LATE, PREFIX, Held, Lost, content, is_header, prefix, utf8_faults
 
 IDLE_MS = 2_000
 OUT = "source_id string, kind string, seq long, text string, reason string, count long, line long, offset long"
 
-_HEAD = re.compile(r"[0-9]{2}\.[0-9]{2}\.[0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3} [^ ]+ \*(?:TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\* (?=\[)")
-
-
-def is_header(line: str) -> bool:
-    if not (m := _HEAD.match(line)):
-        return False
-    depth = 0
-    for c in re.finditer(r"[\[\]]", line[m.end() :]):
-        depth += 1 if c[0] == "[" else -1
-        if depth == 0:
-            return True
-    return False
-
-
-def _prefix(text: str, size: int) -> str:
-    return text.encode()[: max(size, 0)].decode("utf-8", "ignore")
-
-
-@dataclass
-class Lost:
-    reason: str
-    count: int
-    sample: str
-    line: int
-    offset: int
-
 
 class Framer:
-    """State: the unterminated tail, the pending event, what is being discarded, loose text, position."""
+    """Bytes in, events and diagnostics out, in the order of the source."""
 
     def __init__(self, tuning: Tuning) -> None:
         self.t = tuning
-        self.tail, self.pending, self.lines, self.seq = b"", None, 0, 0
-        self.discarding = self.after_idle = False
-        self.truncation: Lost | None = None
+        self.rest = b""  # the unterminated line
+        self.line, self.offset = 1, 0  # of the next line
+        self.held: Held | None = None
+        self.seq = 0  # the line of the event in hand
+        self.given = False  # whether its text has gone out: it was cut, or the source was idle
+        self.idled = False
         self.loose: Lost | None = None
-        self.offset, self.line = 0, 1
-        self.out: list[tuple] = []
 
     def save(self) -> str:
-        state = {k: v for k, v in self.__dict__.items() if k not in ("t", "out")}
-        return json.dumps(state | {"tail": self.tail.hex(), "truncation": self.truncation and vars(self.truncation), "loose": self.loose and vars(self.loose)})
+        held = self.held and [self.held.parts, self.held.size, self.held.lost and asdict(self.held.lost)]
+        return json.dumps([self.rest.hex(), self.line, self.offset, held, self.seq, self.given, self.idled, self.loose and asdict(self.loose)])
 
     @classmethod
     def load(cls, saved: str, tuning: Tuning) -> Framer:
         self = cls(tuning)
-        state = json.loads(saved)
-        self.__dict__.update(state)
-        self.tail = bytes.fromhex(state["tail"])
-        self.truncation, self.loose = (Lost(**state[k]) if state[k] else None for k in ("truncation", "loose"))
+        rest, self.line, self.offset, held, self.seq, self.given, self.idled, loose = json.loads(saved)
+        self.rest, self.loose = bytes.fromhex(rest), Lost(**loose) if loose else None
+        if held:
+            self.held = Held(tuning, held[0], held[1], Lost(**held[2]) if held[2] else None)
         return self
 
     def push(self, data: bytes) -> list[tuple]:
-        *whole, self.tail = (self.tail + data).split(b"\n")
-        for line in whole:
-            self._line(line + b"\n")
-        if len(self.tail) > self.t.event_max_bytes:  # a line without end is taken as one: memory stays bounded
-            self._line(self.tail)
-            self.tail = b""
-        return self._take()
+        *lines, self.rest = (self.rest + data).split(b"\n")
+        out = [row for line in lines for row in self._take(line + b"\n")]
+        in_hand = self.held.size if self.held is not None and not self.given else 0
+        if in_hand + len(self.rest) > self.t.event_max_bytes:  # what can't fit is taken as a line: memory stays bounded
+            out += self._end_line()
+        return out
 
     def idle(self) -> list[tuple]:
-        """No bytes for a while: the tail is a line, the event is complete; what follows is late."""
-        self._end_tail()
-        if self.pending is not None:
-            self._event()
-            self.after_idle = True
-        self._flush_loose()
-        return self._take()
+        """No bytes for a while: the line is whole and the event complete; what follows it is late."""
+        out = self._end_line()
+        if self.held is not None and not self.given:
+            out += self._give()
+            self.held, self.idled = None, True
+        return out + self._flush_loose()
 
     def finish(self) -> list[tuple]:
-        self._end_tail()
-        self._event()
-        self._flush_truncation()
-        self._flush_loose()
-        self.discarding = False
-        return self._take()
-
-    def _take(self) -> list[tuple]:
-        out, self.out = self.out, []
+        """The source has ended."""
+        out = self._end_line() + self._close() + self._flush_loose()
+        self.held = None
         return out
 
-    def _end_tail(self) -> None:
-        if self.tail:
-            tail, self.tail = self.tail, b""
-            self._line(tail)
-
-    def _event(self) -> None:
-        if self.pending is not None:
-            self.out.append(("event", self.seq, self.pending, None, None, None, None))
-        self.pending, self.lines = None, 0
-
-    def _say(self, lost: Lost) -> None:
-        self.out.append(("diagnostic", None, lost.sample, lost.reason, lost.count, lost.line, lost.offset))
-
-    def _flush_truncation(self) -> None:
-        if self.truncation:
-            self._say(self.truncation)
-        self.truncation = None
-
-    def _flush_loose(self) -> None:
-        if self.loose:
-            self._say(self.loose)
-        self.loose = None
-
-    def _cut(self, reason: str, count: int, sample: str, offset: int) -> None:
-        if self.truncation:
-            self.truncation.count += count
-        else:
-            self.truncation = Lost(reason, count, _prefix(sample, self.t.sample_max_bytes), self.line, offset)
-
-    def _line(self, raw: bytes) -> None:
-        most = self.t.event_max_bytes
-        text = raw[: most + 1].decode("utf-8", "replace")
+    def _end_line(self) -> list[tuple]:
+        line, self.rest = self.rest, b""
+        return self._take(line) if line else []
+
+    def _give(self) -> list[tuple]:
+        self.given = True
+        return [("event", self.seq, self.held.text, None, None, None, None)]
+
+    def _close(self) -> list[tuple]:
+        """All that is still to say of the event in hand."""
+        if self.held is None:
+            return []
+        out = [] if self.given else self._give()
+        return out + ([_said(self.held.lost)] if self.held.lost else [])
+
+    def _flush_loose(self) -> list[tuple]:
+        loose, self.loose = self.loose, None
+        return [_said(loose)] if loose else []
+
+    def _take(self, raw: bytes) -> list[tuple]:
+        known = raw[: self.t.event_max_bytes + 1]
+        text, out = known.decode("utf-8", "replace"), []
         at, faults = utf8_faults(raw)
         if faults:
-            self._say(Lost(INVALID, faults, _prefix(text, self.t.sample_max_bytes), self.line, self.offset + at))
-        content = text.removesuffix("\n").removesuffix("\r")
-        if is_header(content):
-            self._flush_truncation()
-            self._flush_loose()
-            self.discarding = self.after_idle = False
-            self._event()
-            self.seq = self.line
-            if max(len(text.encode()), len(raw)) > most:
-                self._part(text, raw, most, "")
-            else:
-                self.pending, self.lines = text, 1
-        elif self.discarding:
-            self._cut(BYTE_LIMIT, len(raw), text, self.offset)
-        elif self.pending is not None:
-            held = len(self.pending.encode())
-            if self.lines + 1 > self.t.event_max_lines:
-                self._event()
-                self.discarding = True
-                self._cut(LINE_LIMIT, len(raw), text, self.offset)
-            elif held + len(raw) > most:
-                self._part(text, raw, most - held, self.pending)
-            else:
-                self.pending += text
-                self.lines += 1
-        elif content:
+            out.append(_said(Lost(INVALID, faults, prefix(text, self.t.sample_max_bytes), self.line, self.offset + at)))
+        if header := is_header(content(known)):
+            # what was cut off comes before what was loose, and both before the event that ends them
+            closed = self._close()
+            out += [r for r in closed if r[0] != "event"] + self._flush_loose() + [r for r in closed if r[0] == "event"]
+            self.held, self.seq, self.given, self.idled = Held(self.t), self.line, False, False
+        if self.held is not None:
+            cut = self.held.lost is not None
+            if not self.held.add(text, len(raw), self.line, self.offset) and not cut:
+                out += self._give()
+                self.held.parts = []  # the text is out; what is cut off goes on being counted
+        elif not header and content(known):
             if self.loose:
                 self.loose.count += len(raw)
             else:
-                self.loose = Lost(LATE if self.after_idle else PREFIX, len(raw), _prefix(text, self.t.sample_max_bytes), self.line, self.offset)
-        self.offset += len(raw)
-        self.line += 1
+                self.loose = Lost(LATE if self.idled else PREFIX, len(raw), prefix(text, self.t.sample_max_bytes), self.line, self.offset)
+        self.line, self.offset = self.line + 1, self.offset + len(raw)
+        return out
+
 
-    def _part(self, text: str, raw: bytes, room: int, before: str) -> None:
-        kept = _prefix(text, room)
-        self.pending = before + kept
-        self._event()
-        self.discarding = True
-        size = len(kept.encode())
-        self._cut(BYTE_LIMIT, max(len(raw) - size, 0), text[len(kept) :], self.offset + size)
+def _said(lost: Lost) -> tuple:
+    return ("diagnostic", None, lost.sample, lost.reason, lost.count, lost.line, lost.offset)
 
 
 class FramerProcessor(StatefulProcessor):
@@ -198,13 +137,15 @@ class FramerProcessor(StatefulProcessor):
         return Framer.load(self.state.get()[0], self.tuning) if self.state.exists() else Framer(self.tuning)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        framer, found = self._framer(), []
+        framer, found, ended = self._framer(), [], False
         chunks = sorted((int(k), bytes(b)) for pdf in rows for k, b in zip(pdf["chunk_seq"], pdf["bytes"], strict=True))
         for _, data in chunks:
-            found += framer.push(data)
+            found += framer.push(data) if data else framer.finish()
+            ended = not data
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + IDLE_MS)
+        if not ended:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + IDLE_MS)
         yield from self._rows(key, framer, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
