@@ -22,20 +22,22 @@ def frame(line: Column) -> Column:
     return _found(line, FRAME)
 
 
-#: The same patterns at the start of any line of a text: its last declaration with what follows, and its first frame.
-_LAST = rf"(?s)\A.*(?md:^)(?U:\s*+)(?:Caused by: |Suppressed: )?({_TYPE}(?=:|\r?\n|\z).*)\z"
-_FIRST_FRAME = FRAME.replace(r"\A", "(?md:^)").replace("[^/]", r"[^/\n]")
-
-
 def terminal_identity(event: Column, message: Column) -> Column:
     """struct(exception, frame): the last declaration and the first frame after it; the header's message takes part as
-    the first line.  Lines are looked for in the text, not split off it."""
-    body = F.when(F.instr(event, "\n") > 0, F.substring(event, F.instr(event, "\n") + 1, F.lit(2**31 - 1))).otherwise("")
-
-    def identity(x: Column) -> Column:  # x: the last declaration and what follows, or nothing
-        last, head = _found(x["last"], rf"\A({_TYPE})"), x["head"]
-        after = F.when(x["last"] != "", x["last"]).when(head.isNotNull(), x["body"])
-        return F.struct(F.coalesce(last, head).alias("exception"), _found(after, _FIRST_FRAME).alias("frame"))
-
-    known = F.struct(F.regexp_extract(body, _LAST, 1).alias("last"), declaration(message).alias("head"), body.alias("body"))
-    return F.transform(F.array(known), identity)[0]  # as a lambda's argument it is worked out once
+    the first line.  Most lines of a stack are frames, which are known by their first characters and of which only the
+    first after a declaration is looked at, so few lines meet a pattern."""
+    rest = F.substring(event, F.instr(event, "\n") + 1, F.lit(2**31 - 1))
+    body = F.when(F.instr(event, "\n") > 0, F.split(F.replace(rest, F.lit("\r\n"), F.lit("\n")), "\n")).otherwise(F.array().cast("array<string>"))
+    null = F.lit(None).cast("string")
+    head = declaration(message)
+    start = F.struct(head.alias("exception"), null.alias("frame"), head.isNotNull().alias("open"))
+
+    def step(state: Column, line: Column) -> Column:
+        framed = F.startswith(line, F.lit("\tat "))
+        declared = F.when(~framed, declaration(line))
+        at = F.when(state["open"], frame(line))
+        new = F.struct(declared.alias("exception"), null.alias("frame"), F.lit(True).alias("open"))
+        placed = F.struct(state["exception"].alias("exception"), at.alias("frame"), F.lit(False).alias("open"))
+        return F.when(framed & ~state["open"], state).when(declared.isNotNull(), new).when(at.isNotNull(), placed).otherwise(state)
+
+    return F.aggregate(body, start, step, lambda s: F.struct(s["exception"].alias("exception"), s["frame"].alias("frame")))

@@ -22,12 +22,13 @@ from pyspark.sql.types import StructType
 
 from ..config import Tuning
 from ..session import few, stage
+from ..sources.lines import Log, in_order
 from .caps import INVALID, PREFIX, Held, Lost, content, is_header, prefix, utf8_faults
 
 DIAGNOSTICS = ("source_id", "reason", "count", "sample", "line", "offset")
 EVENT, CUT, FAULT, HEAD, OPEN = "event", "cut", "fault", "head", "open"
 #: line and at are counted from the block's start.  Of a head, the loose fields are for the case that no event owns it.
-PIECES = "source_id string, block long, kind string, line long, at long, text string, reason string, count long, n_lines long, n_bytes long, headed boolean, file_size long, sizes array<long>, payload binary, loose_line long, loose_at long, blank_end boolean"
+PIECES = "tag long, block long, kind string, line long, at long, text string, reason string, count long, n_lines long, n_bytes long, headed boolean, sizes array<long>, payload binary, loose_line long, loose_at long, blank_end boolean"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 _KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 _SCHEMA = pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x in PIECES.split(", ")])
@@ -99,14 +100,14 @@ def _hold(pieces: Iterator[tuple[int, int, int, int, Iterator[tuple[bytes, int]]
 class _Block:
     """Frames one block from its lines in order."""
 
-    def __init__(self, source: str, block: int, file_size: int | None, t: Tuning) -> None:
-        self.source, self.block, self.file_size, self.t = source, block, file_size, t
+    def __init__(self, tag: int, block: int, t: Tuning) -> None:
+        self.tag, self.block, self.t = tag, block, t
         self.line = self.at = 0
         self.region, self.head = Region(0, 0), None
         self.rows: list[tuple] = []
 
-    def _row(self, kind: str, line: int, at: int, text: str | None = None, reason: str | None = None, count: int | None = None, more: tuple = (None,) * 9) -> None:
-        self.rows.append((self.source, self.block, kind, line, at, text, reason, count, *more))
+    def _row(self, kind: str, line: int, at: int, text: str | None = None, reason: str | None = None, count: int | None = None, more: tuple = (None,) * 8) -> None:
+        self.rows.append((self.tag, self.block, kind, line, at, text, reason, count, *more))
 
     def _cut(self, region: Region) -> None:
         """A complete event that the fast way does not take."""
@@ -172,7 +173,7 @@ class _Block:
         else:
             body = np.concatenate([np.frombuffer(data, np.uint8)[offs[a] : offs[b]] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
         text = pa.StringArray.from_buffers(n, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body)))
-        columns = {"source_id": pa.array([self.source] * n), "block": pa.array(np.full(n, self.block)), "kind": pa.array([EVENT] * n), "line": pa.array(line0 + start), "at": pa.array(at0 + offs[start]), "text": text}
+        columns = {"tag": pa.array(np.full(n, self.tag)), "block": pa.array(np.full(n, self.block)), "kind": pa.array([EVENT] * n), "line": pa.array(line0 + start), "at": pa.array(at0 + offs[start]), "text": text}
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _SCHEMA], schema=_SCHEMA)
 
     def end(self) -> None:
@@ -182,7 +183,7 @@ class _Block:
         def piece(kind: str, r: Region) -> None:
             loose = r.loose or Lost(PREFIX, 0, "", None, None)
             known = list(r.each(t))
-            self._row(kind, r.line, r.at, loose.sample, loose.reason, loose.count, (r.lines, r.bytes, kind == OPEN or self.head is not None, self.file_size, [n for _, n in known], b"".join(x for x, _ in known), loose.line, loose.offset, r.blank_end))
+            self._row(kind, r.line, r.at, loose.sample, loose.reason, loose.count, (r.lines, r.bytes, kind == OPEN or self.head is not None, [n for _, n in known], b"".join(x for x, _ in known), loose.line, loose.offset, r.blank_end))
 
         piece(HEAD, self.region if self.head is None else self.head)
         if self.head is not None:
@@ -213,23 +214,20 @@ def _framer(t: Tuning):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            source, block = (batch.column(c) for c in ("source_id", "block"))
-            raw = batch.column("raw").cast(pa.large_binary())
-            n = batch.num_rows
-            if source[0] == source[n - 1] and block[0] == block[n - 1]:  # a block's lines stand together
-                edges = [0, n]
-            else:
-                code = np.stack([source.dictionary_encode().indices.to_numpy(), block.to_numpy()])
-                edges = [0, *(np.flatnonzero((np.diff(code) != 0).any(0)) + 1).tolist(), n]
+            tag, block = (batch.column(c).to_numpy() for c in ("tag", "block"))
+            raw, n = batch.column("raw").cast(pa.large_binary()), batch.num_rows
+            edges = [0, n]  # a block's lines stand together
+            if tag[0] != tag[-1] or block[0] != block[-1]:
+                edges[1:1] = (np.flatnonzero((np.diff(tag) != 0) | (np.diff(block) != 0)) + 1).tolist()
             offs = np.frombuffer(raw.buffers()[1], np.int64, n + 1, 8 * raw.offset)
             data = memoryview(raw.buffers()[2] or b"")
             for a, b in zip(edges, edges[1:], strict=False):
-                name = (source[a].as_py(), block[a].as_py())
-                if now is None or (now.source, now.block) != name:
+                name = (int(tag[a]), int(block[a]))
+                if now is None or (now.tag, now.block) != name:
                     if now is not None:
                         now.end()
                         yield now.take()
-                    now = _Block(*name, batch.column("file_size")[a].as_py(), t)
+                    now = _Block(*name, t)
                 fast = now.add(data, offs[a : b + 1])
                 if fast is not None:
                     yield fast
@@ -242,24 +240,19 @@ def _framer(t: Tuning):
     return run
 
 
-def pieces(lines: DataFrame, t: Tuning) -> DataFrame:
-    """PIECES of lines: either a scan as it is read (``scan_log``), or numbered lines, which are put in order first."""
-    if "line_no" in lines.columns:
-        whole = F.concat(F.col("raw"), F.when(F.col("ended"), F.lit(b"\n")).otherwise(F.lit(b"")))
-        rows = lines.select("source_id", "block", "line_no", whole.alias("raw"), F.lit(None).cast("long").alias("file_size"))
-        rows = rows.repartition("source_id", "block").sortWithinPartitions("source_id", "block", "line_no").drop("line_no")
-    else:
-        rows = lines.select("source_id", "block", F.concat(F.col("raw"), F.lit(b"\n")).alias("raw"), F.col("size").alias("file_size"))
-    return rows.mapInArrow(_framer(t), PIECES)
+def pieces(log: Log, t: Tuning) -> DataFrame:
+    return log.lines.mapInArrow(_framer(t), PIECES)
 
 
-def _layout(found: DataFrame) -> DataFrame:
+def _layout(found: DataFrame, sources: DataFrame) -> DataFrame:
     """A row per block: where it lies, how much of its file is before it, whose event its head continues, how much of
     that event is before the head, and whether its last line is the file's last and has no newline."""
-    totals = found.where(F.col("kind").isin(HEAD, OPEN)).groupBy("source_id", "block").agg(
+    totals = found.where(F.col("kind").isin(HEAD, OPEN)).groupBy("tag", "block").agg(
         F.max(F.col("line") + F.col("n_lines")).alias("lines"), F.max(F.col("at") + F.col("n_bytes")).alias("bytes"), F.max(F.when(F.col("kind") == HEAD, F.col("n_lines"))).alias("head_lines"), F.max(F.when(F.col("kind") == HEAD, F.col("n_bytes"))).alias("head_bytes"),
-        F.max(F.when(F.col("kind") == OPEN, F.col("n_lines"))).alias("open_lines"), F.max(F.when(F.col("kind") == OPEN, F.col("n_bytes"))).alias("open_bytes"), F.max("file_size").alias("file_size"),
+        F.max(F.when(F.col("kind") == OPEN, F.col("n_lines"))).alias("open_lines"), F.max(F.when(F.col("kind") == OPEN, F.col("n_bytes"))).alias("open_bytes"),
     )
+    # ids of sources are places in the order of their names: over files, not over lines
+    totals = totals.join(sources.withColumn("rank", F.row_number().over(Window.orderBy("source_id")) - 1), "tag")
     before = Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy("source_id")
     headed = F.col("open_lines").isNotNull()
@@ -270,9 +263,8 @@ def _layout(found: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source_id", "owner").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     opens = out.where(headed).select("source_id", F.col("block").alias("owner"), F.col("open_lines").alias("_l"), F.col("open_bytes").alias("_b"))
     out = out.join(opens, ["source_id", "owner"], "left")
-    sources = Window.orderBy("source_id")  # over blocks' rows; there is one per split
     return out.select(
-        "source_id", "block", "owner", "lines", "line0", "at0", "unended", headed.alias("opens"), (F.dense_rank().over(sources) - 1).alias("rank"),
+        "tag", "source_id", "block", "owner", "lines", "line0", "at0", "unended", headed.alias("opens"), "rank",
         (F.col("_l") + F.coalesce(F.sum("head_lines").over(inside), F.lit(0))).alias("held_lines"), (F.col("_b") + F.coalesce(F.sum("head_bytes").over(inside), F.lit(0))).alias("held_bytes"),
     )
 
@@ -315,17 +307,17 @@ class Frames:
     diagnostics: DataFrame
 
 
-def frames(lines: DataFrame, t: Tuning, shape: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Frames:
+def frames(log: Log, t: Tuning, shape: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Frames:
     """``shape`` works on rows with a text; rows without one (and those of other kinds) must stay.  It runs in the
     stage that frames, so events are written once."""
     ours = [c for c in _NAMES if c != "text"]
-    found = stage(shape(pieces(lines, t)), "frames")
-    layout = stage(_layout(found.select(*ours)), "blocks")
-    few_blocks = few(layout.select("source_id", "block", "lines", "line0", "at0", "rank", "unended"))
+    found = stage(shape(pieces(log, t)), "frames")
+    layout = stage(_layout(found.select(*ours), log.sources), "blocks")
+    few_blocks = few(layout.select("tag", "source_id", "block", "lines", "line0", "at0", "rank", "unended"))
     added = [c for c in found.columns if c not in _NAMES]
-    here = found.where(F.col("kind") == EVENT).join(few_blocks, ["source_id", "block"]).select("source_id", "rank", (F.col("line0") + F.col("line") + 1).alias("seq"), "text", *added)
+    here = found.where(F.col("kind") == EVENT).join(few_blocks, ["tag", "block"]).select("source_id", "rank", (F.col("line0") + F.col("line") + 1).alias("seq"), "text", *added)
 
-    ends = found.where(F.col("kind").isin(HEAD, OPEN)).select(*ours).join(few(layout), ["source_id", "block"])
+    ends = found.where(F.col("kind").isin(HEAD, OPEN)).select(*ours).join(few(layout), ["tag", "block"])
     mine = (F.col("kind") == OPEN) | (F.col("owner").isNotNull() & (F.col("n_lines") > 0))
     # what comes after more than the caps let through is only counted
     over = (F.col("kind") == HEAD) & ((F.col("held_lines") > t.event_max_lines) | (F.col("held_bytes") > t.event_max_bytes))
@@ -341,11 +333,11 @@ def frames(lines: DataFrame, t: Tuning, shape: Callable[[DataFrame], DataFrame]
     there = joined.where(F.col("kind") == EVENT).select("source_id", "rank", F.col("line").alias("seq"), "text", *added)
 
     strip = lambda text, last: F.when(last, F.regexp_replace(text, r"\n\z", "")).otherwise(text)
-    raw = found.where(F.col("kind").isin(CUT, FAULT)).select("source_id", "block", "line", "at", "text", "reason", "count").join(few_blocks, ["source_id", "block"])
+    raw = found.where(F.col("kind").isin(CUT, FAULT)).select("tag", "block", "line", "at", "text", "reason", "count").join(few_blocks, ["tag", "block"])
     raw = raw.select("source_id", "reason", "count", strip(F.col("text"), F.col("unended") & (F.col("reason") == INVALID) & (F.col("line") == F.col("lines") - 1)).alias("sample"), (F.col("line0") + F.col("line") + 1).alias("line"), (F.col("at0") + F.col("at")).alias("offset"))
     cuts = joined.where(F.col("kind") == CUT).select("source_id", "reason", "count", F.col("text").alias("sample"), "line", F.col("at").alias("offset"))
-    loose = found.where((F.col("kind") == HEAD) & F.col("loose_line").isNotNull()).select("source_id", "block", "count", "text", "loose_line", "loose_at", "blank_end", "headed", "n_lines")
-    loose = loose.join(few(layout), ["source_id", "block"]).where("owner is null")
+    loose = found.where((F.col("kind") == HEAD) & F.col("loose_line").isNotNull()).select("tag", "block", "count", "text", "loose_line", "loose_at", "blank_end", "headed", "n_lines")
+    loose = loose.join(few(layout), ["tag", "block"]).where("owner is null")
     last = F.col("unended") & ~F.col("opens")
     loose = loose.select("source_id", F.lit(PREFIX).alias("reason"), (F.col("count") - F.when(last & ~F.col("blank_end"), 1).otherwise(0)).alias("count"), strip(F.col("text"), last & (F.col("loose_line") == F.col("n_lines") - 1)).alias("sample"), (F.col("line0") + F.col("loose_line") + 1).alias("line"), (F.col("at0") + F.col("loose_at")).alias("offset"))
     start = lambda c: F.min_by(c, "line").alias(c)
@@ -353,8 +345,8 @@ def frames(lines: DataFrame, t: Tuning, shape: Callable[[DataFrame], DataFrame]
     return Frames(here.unionByName(there), raw.unionByName(cuts).unionByName(loose))
 
 
-def frame(lines: DataFrame, tuning: Tuning | None = None) -> tuple[DataFrame, DataFrame]:
+def frame(lines: DataFrame | Log, tuning: Tuning | None = None) -> tuple[DataFrame, DataFrame]:
     """events (source_id, seq, text) and diagnostics; seq is the line number of the event's header.  Diagnostics come in
     no order; line and offset give it."""
-    found = frames(lines, tuning or Tuning())
+    found = frames(lines if isinstance(lines, Log) else in_order(lines), tuning or Tuning())
     return found.events.select("source_id", "seq", "text"), found.diagnostics

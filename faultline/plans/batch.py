@@ -13,6 +13,7 @@ from ..operators import groups as gr
 from ..operators import learner
 from ..operators.framing import frames
 from ..session import prepare, stage
+from ..sources.lines import Log, in_order
 
 
 @dataclass(frozen=True)
@@ -25,12 +26,13 @@ class Run:
         return self.analysis.groups
 
 
-def analyze(lines: DataFrame, tuning: Tuning | None = None, arrival: Column | None = None, mutes: DataFrame | None = None, raw_sample: bool = False) -> Run:
+def analyze(lines: DataFrame | Log, tuning: Tuning | None = None, arrival: Column | None = None, mutes: DataFrame | None = None, raw_sample: bool = False) -> Run:
     """``arrival`` is the instant for stamps that give none; pass a literal for repeatable results.  Lines are framed,
     parsed and written in one stage; all else is built on what it wrote."""
     t = tuning or Tuning()
-    prepare(lines.sparkSession)
-    found = frames(lines, t, lambda rows: ev.prepare(rows, t, arrival))
+    log = lines if isinstance(lines, Log) else in_order(lines)
+    prepare(log.lines.sparkSession)
+    found = frames(log, t, lambda rows: ev.prepare(rows, t, arrival))
     events = found.events.withColumn("seq", F.col("rank") * F.lit(1 << 40) + F.col("seq")).where("timestamp is not null")
     return Run(gr.aggregate(events, learner.learn(events, t), t, mutes, raw_sample), found.diagnostics)
 

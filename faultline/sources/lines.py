@@ -6,6 +6,8 @@ so no file goes through one task.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +24,29 @@ def numbered(lines: DataFrame) -> DataFrame:
     return joined.withColumns({"line_no": F.col("_n0") + F.col("_k") + 1, "offset": F.col("_b0") + F.col("_o")}).drop("_k", "_o", "_n0", "_b0", "pos")
 
 
-def scan_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(source_id, block, raw, size), size being the file's: lines as they are scanned, which is what framing needs.
-    A partition's rows are whole blocks, each in its order."""
-    scan = spark.read.option("lineSep", "\n").text(path)
-    return scan.select(F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_size").alias("size"))
+@dataclass(frozen=True)
+class Log:
+    """Log files as framing takes them: lines (tag, block, raw) as they are scanned, and the files they come from
+    (tag, source_id, file_size).  A partition's rows are whole blocks, each in its order."""
+
+    lines: DataFrame
+    sources: DataFrame
+
+
+def scan_log(spark: SparkSession, path: str | list[str]) -> Log:
+    """A file's lines carry a hash of its name; names and sizes come from the listing, not with each line."""
+    name = F.col("_metadata.file_path")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.xxhash64(name).alias("tag"), F.col("_metadata.file_block_start").alias("block"), F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("raw"))
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64(name).alias("tag"), name.alias("source_id"), F.col("_metadata.file_size").alias("file_size"))
+    return Log(lines, files)
+
+
+def in_order(lines: DataFrame) -> Log:
+    """Numbered lines (``read_log``, ``from_text``) for framing: one shuffle puts each block in order."""
+    whole = F.concat(F.col("raw"), F.when(F.col("ended"), F.lit(b"\n")).otherwise(F.lit(b"")))
+    rows = lines.select(F.xxhash64("source_id").alias("tag"), "block", "line_no", whole.alias("raw"))
+    rows = rows.repartition("tag", "block").sortWithinPartitions("tag", "block", "line_no").drop("line_no")
+    return Log(rows, lines.select(F.xxhash64("source_id").alias("tag"), "source_id", F.lit(None).cast("long").alias("file_size")).distinct())
 
 
 def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:

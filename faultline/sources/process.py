@@ -102,15 +102,16 @@ class _Reader(SimpleDataSourceStreamReader):
                 block = self.child.chunks.get(timeout=0.05)
             except queue.Empty:
                 continue
-            if block is None:
-                self.ended = True
-                break
-            self.kept[end] = block
+            self.kept[end] = block or b""  # the last chunk has no bytes: it ends the source
             end += 1
+            self.ended = block is None
         return iter([(self.source_id, k, self.kept[k]) for k in range(at, end)]), {"chunk": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([(self.source_id, k, self.kept[k]) for k in range(start["chunk"], end["chunk"]) if k in self.kept])
+        wanted = range(start["chunk"], end["chunk"])
+        if lost := [k for k in wanted if k not in self.kept]:  # a child's output can't be read twice
+            raise RuntimeError(f"chunks {lost[0]} to {lost[-1]} are gone with the process that wrote them")
+        return iter([(self.source_id, k, self.kept[k]) for k in wanted])
 
     def commit(self, end: dict) -> None:
         self.kept = {k: v for k, v in self.kept.items() if k >= end["chunk"]}

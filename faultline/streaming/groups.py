@@ -131,27 +131,41 @@ def group_stream(prepared: DataFrame, tuning: Tuning | None = None) -> DataFrame
 
 
 class Snapshot:
-    """The latest row of every group, kept by ``foreachBatch``: one versioned table, and the number of the version."""
+    """The latest row of every group, kept by ``foreachBatch``: a version of the table for each batch, under its number.
+
+    Which versions there are is read from the folder, so a restarted driver goes on where the last one stopped, and a
+    batch that is given again overwrites its own version.  A folder belongs to one checkpoint."""
 
     def __init__(self, path: str) -> None:
-        self.path, self.generation = path, 0
+        self.path = path.rstrip("/")
+
+    def versions(self, spark) -> list[int]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not store.exists(folder):
+            return []
+        found = (x.getPath() for x in store.listStatus(folder))
+        whole = (p.getName() for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return sorted(int(name.partition("=")[2]) for name in whole if name.startswith("batch="))
 
     def __call__(self, changes: DataFrame, batch: int) -> None:
         spark, keys = changes.sparkSession, [*BUCKET, "slot"]
         new = changes.withColumn("_batch", F.lit(batch))
-        if self.generation:
-            new = spark.read.parquet(self.at(self.generation)).unionByName(new)
+        if before := [n for n in self.versions(spark) if n < batch]:
+            new = spark.read.parquet(self.at(before[-1])).unionByName(new)
         latest = new.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in new.columns if c not in keys)), "_batch").alias("r")).select(*keys, "r.*")
-        latest.write.mode("overwrite").parquet(self.at(self.generation + 1))
-        self.generation += 1
+        latest.write.mode("overwrite").parquet(self.at(batch))
 
-    def at(self, generation: int) -> str:
-        return f"{self.path}/generation={generation}"
+    def at(self, batch: int) -> str:
+        return f"{self.path}/batch={batch}"
 
-    def groups(self, spark) -> DataFrame:
-        """Live groups with ids in the order of creation; over groups, whose number is capped."""
+    def groups(self, spark, mutes: DataFrame | None = None) -> DataFrame:
+        """Live groups with ids in the order of creation; over groups, whose number is capped.  ``mutes``: (id)."""
         from pyspark.sql import Window
 
-        rows = spark.read.parquet(self.at(self.generation))
+        rows = spark.read.parquet(self.at(self.versions(spark)[-1]))
         ids = rows.where("created_seq is not null").withColumn("id", F.row_number().over(Window.orderBy("created_seq")))
-        return ids.where("merged_into is null and slot >= 0").drop("_batch")
+        live = ids.where("merged_into is null and slot >= 0").drop("_batch")
+        if mutes is None:
+            return live.withColumn("muted", F.lit(False))
+        return live.join(mutes.select("id").distinct().withColumn("muted", F.lit(True)), "id", "left").withColumn("muted", F.coalesce("muted", F.lit(False)))

@@ -112,3 +112,32 @@ def test_groups_of_a_stream(rocks, tmp_path):
     out = [(r.id, r["count"], r.template) for r in snap.groups(rocks).orderBy("id").collect()]
     assert out == [(1, 12, "Failed to start bundle"), (2, 5, "Resource not found <*>"), (3, 6, "alpha <*> <*> <*> epsilon"), (5, 2, "Uncaught exception"), (6, 1, "ignored warn")]
     assert snap.groups(rocks).agg(F.sum("count")).first()[0] == 26
+
+
+def test_snapshot_survives_a_restart(spark, tmp_path):
+    row = {"level": "ERROR", "logger": "x", "terminal_exception": None, "terminal_frame": None, "token_count": 1, "merged_into": None, "first_seen": 0.0, "last_seen": 0.0, "template": "t", "nodes": ["n"], "nodes_capped": False, "fast": 0.0, "baseline": 0.0, "sample": "s", "sample_truncated": False, "overflow": 0}
+    change = lambda slot, count: spark.createDataFrame([row | {"slot": slot, "created_seq": slot + 1, "count": count}], gr.OUT)
+    gr.Snapshot(str(tmp_path))(change(0, 1), 0)
+    gr.Snapshot(str(tmp_path))(change(1, 1), 1)
+    for _ in range(2):  # the last batch is given again
+        gr.Snapshot(str(tmp_path))(change(0, 5), 2)
+    found = gr.Snapshot(str(tmp_path)).groups(spark, spark.createDataFrame([(2,)], "id long"))
+    assert [(r.id, r["count"], r.muted) for r in found.orderBy("id").collect()] == [(1, 5, False), (2, 1, True)]
+
+
+def test_end_of_a_process(rocks, tmp_path):
+    process.register(rocks)
+    argv = [sys.executable, "-c", f"import sys; sys.stdout.write({(H + 'one')!r})"]
+    chunks = rocks.readStream.format("faultline_process").option("argv", json.dumps(argv)).load()
+    reader = process._Reader({"argv": json.dumps(argv)})
+    rows, at = [], {"chunk": 0}
+    for _ in range(100):
+        more, at = reader.read(at)
+        rows += list(more)
+        if rows and not rows[-1][2]:
+            break
+    assert [r[2] for r in rows] == [(H + "one").encode(), b""] and chunks.isStreaming
+    with pytest.raises(RuntimeError):
+        process._Reader({"argv": json.dumps(argv)}).readBetweenOffsets({"chunk": 0}, {"chunk": 1})
+    f = fr.Framer(Tuning())
+    assert [o[2] for data in (r[2] for r in rows) for o in (f.push(data) if data else f.finish())] == [H + "one"]
