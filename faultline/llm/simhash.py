@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import keep
+from .common import free, keep, with_facts
 from .components import components
 
 SHINGLE, SEED, SEGMENTS = 3, 42, 32
@@ -154,20 +154,22 @@ def links(points: DataFrame, segments: int = SEGMENTS) -> DataFrame:
 def classes(docs: DataFrame, segments: int = SEGMENTS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: a row per document."""
     prints = keep(fingerprint(docs, shingle))
-    points = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    points = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     found = keep(links(points, segments))
     parts = components(found, "a", "b")
     # components are named by a fingerprint; rename them by their least document
     named = parts.join(points, parts.node == points.fp).select("component", "fp", "least")
     name = named.groupBy("component").agg(F.min("least").alias("component_id"))
     joined = named.join(name, "component").select("fp", "component_id")
-    rows = points.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(rows, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = keep(points.join(joined, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
+    met = with_facts(prints, rows, "fp", F.col("doc_id"))  # a crowd of copies has one fingerprint
+    return met.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, segments: int = SEGMENTS, shingle: int = SHINGLE) -> DataFrame:
     """The documents without those whose class has a smaller id; rows that repeat an id stay together.  A row
     with a null id stays: it can't be told from others of its class."""
     found = classes(docs, segments, shingle)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    own = free(docs, "gone")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(own), "left_anti")
