@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, katz, linejoin, mixing, quality, rollup, simhash, substring, tokenfiles, warc
-from .common import fresh_dir, keep, table
+from .common import fresh_dir, keep, table, with_facts
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -35,8 +35,8 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", "source", "lang", F.sha2(text.cast("binary"), 256).alias("digest"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes"))
     rows = keep(rows)
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = rows.join(first, "digest").where("doc_id != first")
+    repeated = keep(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    copies = with_facts(rows, repeated, "digest", F.col("doc_id")).where("doc_id != first")
 
     def change(df: DataFrame, op: str, tokenizer: str, n: str, old: str = "null", old_tokens: str = "null") -> DataFrame:
         return df.selectExpr(f"'{op}' op", "source", "lang", f"'{tokenizer}' tokenizer", f"{n} n_tokens", f"{old} old_tokenizer", f"{old_tokens} old_tokens")
