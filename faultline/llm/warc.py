@@ -10,7 +10,11 @@ Archives are written under a temporary name and renamed; the manifest of files i
 
 Defined results: a null payload is empty; payloads under ``least`` bytes are always responses; rows that repeat
 an id and a payload are all responses, or all revisits of a smaller id; a page with a null id revisits a page
-with an id, or is a response.  A record that fails verification is returned with its ``fault`` and no digest.
+with an id, or is a response.  A record that fails verification is returned with its ``fault`` and no digest; a file
+that breaks off, or is no archive from some point on, gives the records before that point and one row with a fault.
+Records of other types (warcinfo, request, metadata) are no pages and give no row.
+A response whose digest is absent or not SHA-256 is taken as it is; a revisit then has a fault, and so has one whose
+response is not in the archives or has another digest.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, partitions
+from .common import keep, partitions, with_facts
 from .tokenfiles import _store
 
 LEAST, SEGMENT, CHUNK = 100, 8192, 2048
 DATE = "2024-01-01T00:00:00Z"
+#: The kind of the row that stands for what can't be read of a file.
+DAMAGED = "damaged"
 RECORD = "origin string, segment int, total long, page_id long, kind string, refers_to long, stated string, block binary"
 PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, fault string"
 
@@ -38,9 +44,10 @@ def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """The pages with their payload, its digest and the page they revisit (null: a response)."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    # digests are aggregated before they meet; the join's sides are plain exchanges, which adaptive execution splits
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    return rows.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))).drop("first")
+    # only digests that repeat are met, and of those a hot one's rows are dealt over all tasks
+    repeated = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    met = with_facts(rows, keep(repeated), "digest", F.coalesce(F.col("page_id"), F.xxhash64("url")))
+    return met.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))).drop("first")
 
 
 def chunked(body: bytes, size: int = CHUNK) -> bytes:
@@ -117,7 +124,7 @@ def write(pages: DataFrame, out_dir: str, least: int = LEAST, segment_bytes: int
 
 
 def records(data) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of a stream that has read and readline."""
+    """(fields, block) of each record of a stream that has read and readline; ValueError where it is no archive."""
     while line := data.readline():
         if not line.strip():
             continue
@@ -125,20 +132,28 @@ def records(data) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError("not a WARC record")
         fields = {}
         while (line := data.readline()).strip():
-            k, _, v = line.decode().partition(":")
+            k, _, v = line.decode("utf-8", "replace").partition(":")
             fields[k.strip().lower()] = v.strip()
-        block = data.read(int(fields["content-length"]))
-        if len(block) != int(fields["content-length"]):
+        size = int(fields.get("content-length", "?"))
+        block = data.read(size)
+        if len(block) != size or not line:
             raise ValueError("the file ends within a record")
         yield fields, block
 
 
+def _number(x: str | None) -> int | None:
+    """A header's number; a header that is none counts as absent."""
+    return int(x) if x is not None and x.isascii() and x.isdigit() else None
+
+
+def _row(f: dict[str, str], block: bytes) -> tuple:
+    origin = f.get("warc-segment-origin-id", f.get("warc-record-id"))
+    return origin, _number(f.get("warc-segment-number")), _number(f.get("warc-segment-total-length")), _number(f.get("x-page-id")), f.get("warc-type"), _number(f.get("x-refers-to-page-id")), f.get("warc-payload-digest"), block
+
+
 def _parse(out_dir: str):
     import gzip
 
-    def number(x: str | None) -> int | None:
-        return int(x) if x is not None else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
         types = {"segment": pa.int32(), "total": pa.int64(), "page_id": pa.int64(), "refers_to": pa.int64(), "block": pa.binary()}
@@ -148,9 +163,21 @@ def _parse(out_dir: str):
         for batch in batches:
             for file in batch.column("file").to_pylist():
                 with store.open_input_file(f"{path}/{file}") as raw, gzip.GzipFile(fileobj=raw, mode="rb") as data:
-                    for f, block in records(data):
-                        rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), number(f.get("x-page-id")), f["warc-type"], number(f.get("x-refers-to-page-id")), f.get("warc-payload-digest"), block))
-                        size += len(block)
+                    found = records(data)
+                    while True:
+                        try:
+                            if (record := next(found, None)) is None:
+                                break
+                            if record[0].get("warc-type") not in ("response", "revisit", "continuation"):
+                                continue  # what describes the archive, or a request, is no page
+                            rows.append(_row(*record))
+                        except (ValueError, EOFError, OSError, zlib.error) as error:
+                            if isinstance(error, OSError) and not isinstance(error, gzip.BadGzipFile):
+                                raise  # the store's fault, not the archive's: the task is tried again
+                            # what stood before the damage is kept; the rest of the file is one faulty record
+                            rows.append((f"{file}#damaged", None, None, None, DAMAGED, None, str(error), b""))
+                            break
+                        size += len(rows[-1][-1])
                         if size >= 2 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                             rows, size = [], 0
@@ -160,11 +187,20 @@ def _parse(out_dir: str):
     return run
 
 
+def _algorithm(stated: str | None) -> str | None:
+    """What a digest was made with; one that is absent or made otherwise is not compared."""
+    return stated.partition(":")[0].lower() if stated and ":" in stated else None
+
+
 def page_of(parts: list[dict]) -> dict:
     """One page from its records, in any order."""
     parts = sorted(parts, key=lambda p: p["segment"] or 0)
     head = parts[0]
     out = {"page_id": head["page_id"], "payload_bytes": None, "payload_digest": None, "record_type": head["kind"], "refers_to": head["refers_to"], "fault": None}
+    if head["kind"] == DAMAGED:
+        return out | {"record_type": None, "fault": f"the archive is damaged: {head['stated']}"}
+    if head["kind"] == "continuation":
+        return out | {"record_type": None, "fault": "segments are missing"}
     block = b"".join(p["block"] for p in parts)
     if head["segment"] is not None:
         if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)) or parts[-1]["total"] is None:
@@ -177,12 +213,14 @@ def page_of(parts: list[dict]) -> dict:
         line, _, body = block.partition(b"\r\n\r\n")
         fields = dict(x.lower().split(b": ", 1) for x in line.split(b"\r\n")[1:])
         if head["kind"] == "revisit":
-            return out | {"payload_bytes": int(fields[b"content-length"]), "payload_digest": head["stated"].partition(":")[2]}
+            if _algorithm(head["stated"]) != "sha256":
+                return out | {"fault": "the revisit states no SHA-256 digest"}
+            return out | {"payload_bytes": int(fields[b"content-length"]), "payload_digest": head["stated"].partition(":")[2].lower()}
         body = unchunked(body) if fields.get(b"transfer-encoding") == b"chunked" else body
-    except ValueError:
+    except (ValueError, KeyError):
         return out | {"fault": "the framing is broken"}
     digest = hashlib.sha256(body).hexdigest()
-    if head["stated"] != f"sha256:{digest}":
+    if _algorithm(head["stated"]) == "sha256" and head["stated"].partition(":")[2].lower() != digest:
         return out | {"fault": "the payload is not what its digest says"}
     return out | {"payload_bytes": len(body), "payload_digest": digest}
 
@@ -202,4 +240,13 @@ def read(spark: SparkSession, out_dir: str, manifest: DataFrame) -> DataFrame:
     parts = F.struct("segment", "total", "page_id", "kind", "refers_to", "stated", "block")
     whole = found.where("segment is null").select(F.array(parts).alias("parts"))
     cut = found.where("segment is not null").groupBy("origin").agg(F.collect_list(parts).alias("parts")).select("parts")
-    return whole.union(cut).mapInArrow(_assemble, PAGE)
+    pages = keep(whole.union(cut).mapInArrow(_assemble, PAGE))
+    # a revisit stands for a response: one row per response that is revisited, met by its revisits
+    revisits = F.col("record_type") == "revisit"
+    wanted = pages.where(revisits & F.col("refers_to").isNotNull()).groupBy(F.col("refers_to").alias("_at")).agg(F.count("*").alias("n"))
+    have = pages.where((F.col("record_type") == "response") & F.col("fault").isNull()).select(F.col("page_id").alias("_at"), "payload_digest")
+    # rows that repeat an id may hold several payloads, each of which can be revisited
+    there = wanted.join(have, "_at").groupBy("_at").agg(F.first("n").alias("n"), F.collect_set("payload_digest").alias("_said"))
+    met = with_facts(pages.withColumn("_at", F.when(revisits, F.col("refers_to"))), keep(there), "_at", F.col("page_id"))
+    lost = revisits & F.col("fault").isNull() & ~F.coalesce(F.array_contains("_said", F.col("payload_digest")), F.lit(False))
+    return met.select("page_id", *(F.when(~lost, F.col(c)).alias(c) for c in ("payload_bytes", "payload_digest")), "record_type", "refers_to", F.when(lost, "the response it names is not there").otherwise(F.col("fault")).alias("fault"))
