@@ -6,8 +6,8 @@ suffix, cut to its window, is binary-searched in every shard; a range of the arr
 Neighbouring occurrences on one diagonal join into the longest verbatim matches (``matches``).
 
 A window is ``window`` consecutive item words; a shorter item with words is one window.  No row is shuffled.
-The benchmark is taken in blocks of at most ``block_bytes`` of text, so what travels with a task is bounded;
-each block is one more pass over the rows in the same stage.
+The benchmark is taken in blocks of about ``block_bytes`` of text, whose indexes are files in the shared folder; a
+worker holds one of them at a time and searches a run of slices with each in turn.
 
 Defined results: null or wordless texts have no words and no hits; wordless items and items without an id
 match nothing; repeated items and rows count alike; an empty benchmark contaminates nothing.
@@ -16,6 +16,7 @@ match nothing; repeated items and rows count alike; an empty benchmark contamina
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import fresh_dir
+from .tokenfiles import _store, put
 
 WINDOW, BLOCK_BYTES = 10, 8 << 20
+#: Rows searched with one block before the next is loaded, if there are several.
+RUN_BYTES = 32 << 20
 
 
 def _words(column: pa.Array) -> tuple[K.Words, np.ndarray]:
@@ -157,94 +162,141 @@ def _owners(index: TestIndex, row: np.ndarray, window: np.ndarray) -> tuple[np.n
     return both // len(index.items), both % len(index.items)
 
 
-def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[TestIndex]:
-    """The benchmark by blocks; the driver holds one block's text at a time."""
-    out, ids, texts, size = [], [], [], 0
+@dataclass(frozen=True)
+class Blocks:
+    """Indexes of a benchmark's blocks, as files in the shared folder: only their names travel with a task."""
+
+    folder: str
+    names: tuple[str, ...]
+
+    def load(self, name: str) -> TestIndex:
+        if _LOADED.get("at") != (self.folder, name):  # a worker holds one block at a time
+            store, path = _store(f"{self.folder}/{name}")
+            with store.open_input_stream(path) as data:
+                _LOADED.update(at=(self.folder, name), index=pickle.loads(data.read()))
+        return _LOADED["index"]
+
+
+_LOADED: dict = {}
+
+
+def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Blocks:
+    """Index the benchmark by blocks; the driver holds one block at a time."""
+    spark = benchmark.sparkSession
+    folder, names = fresh_dir(spark, "benchmark"), []
+    ids, texts, size = [], [], 0
+
+    def flush() -> None:
+        nonlocal ids, texts, size
+        names.append(f"{len(names):06d}.index")
+        put(folder, names[-1], [pickle.dumps(index_items(ids, texts, window), pickle.HIGHEST_PROTOCOL)])
+        ids, texts, size = [], [], 0
+
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     for row in rows.toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
         size += len(row[1].encode())
         if size >= block_bytes:
-            out.append(index_items(ids, texts, window))
-            ids, texts, size = [], [], 0
-    return out + ([index_items(ids, texts, window)] if ids else [])
-
-
-def _mark(index: TestIndex, column: str):
-    """Adds to each row what this block finds: hit words as a bitmap, items as a list."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in K.steps(batch, column):
-                found = search(part.column(column), index)
-                words, n = found.words, np.diff(found.words.row)
-                hit = K.covered(found.at, index.size[found.window], int(words.row[-1])) if len(found.at) else np.zeros(int(words.row[-1]), bool)
-                rows, items = _owners(index, np.searchsorted(words.row, found.at, side="right") - 1, found.window)
-                bitmap, names = part.column("_hit").to_pylist(), part.column("_items").to_pylist()
-                for k in np.unique(rows).tolist():
-                    own = np.packbits(hit[words.row[k] : words.row[k + 1]])
-                    bitmap[k] = (own | np.frombuffer(bitmap[k], np.uint8)).tobytes() if bitmap[k] else own.tobytes()
-                    names[k] = sorted({*(names[k] or ()), *index.items[items[rows == k]].tolist()})
-                at = {"_words": pa.array(n, pa.int64()), "_hit": pa.array(bitmap, pa.binary()), "_items": pa.array(names, pa.list_(pa.int64()))}
-                yield pa.RecordBatch.from_arrays([at.get(c, x) for c, x in zip(part.schema.names, part.columns, strict=True)], part.schema.names)
-
-    return run
-
-
-def _marked(docs: DataFrame, benchmark: DataFrame, column: str, window: int, block_bytes: int) -> DataFrame:
-    out = docs.withColumns({"_words": F.lit(0).cast("long"), "_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<long>")})
-    for index in blocks(benchmark, window, block_bytes) or [index_items([], [], window)]:
-        out = out.mapInArrow(_mark(index, column), out.schema)
-    return out
+            flush()
+    if ids or not names:
+        flush()
+    return Blocks(folder, tuple(names))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, found: Blocks) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of slices that are searched with each block in turn: with several blocks they are long, so that a block is
+    loaded once for many slices."""
+    held, size = [], 0
+    for batch in batches:
+        for part in K.steps(batch, column):
+            held.append(part)
+            size += part.nbytes
+            if len(found.names) == 1 or size >= RUN_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+class _Marks:
+    """What the blocks searched so far have found in one slice: hit words as bitmaps, items as lists."""
+
+    def __init__(self, part: pa.RecordBatch) -> None:
+        self.part, self.words = part, None
+        self.hit: list[bytes | None] = [None] * part.num_rows
+        self.items: list[list[int] | None] = [None] * part.num_rows
+
+    def add(self, column: str, index: TestIndex) -> None:
+        found = search(self.part.column(column), index)
+        words = found.words
+        self.words = np.diff(words.row)
+        hit = K.covered(found.at, index.size[found.window], int(words.row[-1])) if len(found.at) else np.zeros(int(words.row[-1]), bool)
+        rows, items = _owners(index, np.searchsorted(words.row, found.at, side="right") - 1, found.window)
+        for k in np.unique(rows).tolist():
+            own = np.packbits(hit[words.row[k] : words.row[k + 1]])
+            self.hit[k] = (own | np.frombuffer(self.hit[k], np.uint8)).tobytes() if self.hit[k] else own.tobytes()
+            self.items[k] = sorted({*(self.items[k] or ()), *index.items[items[rows == k]].tolist()})
+
+
+def _marked(batches: Iterator[pa.RecordBatch], column: str, found: Blocks) -> Iterator[_Marks]:
+    for parts in _slices(batches, column, found):
+        marks = [_Marks(p) for p in parts]
+        for name in found.names:
+            for mark in marks:
+                mark.add(column, found.load(name))
+        yield from marks
 
 
 def inspect(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (ids), items_sha256, contaminated: a row per document."""
+    found = blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits, items = batch.column("_hit").to_pylist(), [x or [] for x in batch.column("_items").to_pylist()]
-            n_hit = [int.from_bytes(b, "big").bit_count() if b else 0 for b in bits]
+        for mark in _marked(batches, "text", found):
+            items = [x or [] for x in mark.items]
+            n_hit = [int.from_bytes(b, "big").bit_count() if b else 0 for b in mark.hit]
             sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_words"), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(sha), pa.array([x > 0 for x in n_hit])], ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
+            yield pa.RecordBatch.from_arrays([mark.part.column("doc_id"), pa.array(mark.words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(sha), pa.array([x > 0 for x in n_hit])], ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"])
 
-    marked = _marked(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, "text", window, block_bytes).drop("text")
-    return marked.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items array<long>, items_sha256 string, contaminated boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items array<long>, items_sha256 string, contaminated boolean")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    return _marked(docs, benchmark, "text", window, block_bytes).where(F.col("_hit").isNull()).drop("_words", "_hit", "_items")
+    found = blocks(benchmark, window, block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for mark in _marked(batches, "text", found):
+            yield mark.part.filter(pa.array([x is None for x in mark.hit]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Longest verbatim matches: doc_id, word, item_id, item_word, length in words.  A match is a maximal run of
     window occurrences one word apart in both texts."""
+    blocked = blocks(benchmark, window, block_bytes)
+
+    def longest(part: pa.RecordBatch, index: TestIndex) -> pa.RecordBatch:
+        found = search(part.column("text"), index)
+        count = index.first[found.window + 1] - index.first[found.window]
+        run_ = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        own = np.repeat(index.first[found.window], count) + run_
+        at, size = np.repeat(found.at, count), np.repeat(index.size[found.window], count)
+        item, place = index.owners[own], index.places[own]
+        row = np.searchsorted(found.words.row, at, side="right") - 1
+        order = np.lexsort((at, at - place, item, row))
+        at, size, item, place, row = (x[order] for x in (at, size, item, place, row))
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(at) != 1) | (np.diff(place) != 1) | (np.diff(item) != 0) | (np.diff(row) != 0)
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(at)) - 1 if len(at) else head
+        return pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row[head])), pa.array(at[head] - found.words.row[row[head]]), pa.array(index.items[item[head]] if len(head) else [], pa.int64()), pa.array(place[head]), pa.array(at[last] + size[last] - at[head])], ["doc_id", "word", "item_id", "item_word", "length"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _slices(batches, "text", blocked):
+            for name in blocked.names:
+                yield from (longest(part, blocked.load(name)) for part in parts)
 
-    def finder(index: TestIndex):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in K.steps(batch, "text"):
-                    found = search(part.column("text"), index)
-                    count = index.first[found.window + 1] - index.first[found.window]
-                    run_ = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                    own = np.repeat(index.first[found.window], count) + run_
-                    at, size = np.repeat(found.at, count), np.repeat(index.size[found.window], count)
-                    item, place = index.owners[own], index.places[own]
-                    row = np.searchsorted(found.words.row, at, side="right") - 1
-                    order = np.lexsort((at, at - place, item, row))
-                    at, size, item, place, row = (x[order] for x in (at, size, item, place, row))
-                    new = np.ones(len(at), bool)
-                    new[1:] = (np.diff(at) != 1) | (np.diff(place) != 1) | (np.diff(item) != 0) | (np.diff(row) != 0)
-                    head = np.flatnonzero(new)
-                    last = np.append(head[1:], len(at)) - 1 if len(at) else head
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row[head])), pa.array(at[head] - found.words.row[row[head]]), pa.array(index.items[item[head]] if len(head) else [], pa.int64()), pa.array(place[head]), pa.array(at[last] + size[last] - at[head])], ["doc_id", "word", "item_id", "item_word", "length"])
-
-        return run
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    out = [rows.mapInArrow(finder(i), "doc_id long, word long, item_id long, item_word long, length long") for i in blocks(benchmark, window, block_bytes) or [index_items([], [], window)]]
-    for more in out[1:]:
-        out[0] = out[0].unionByName(more)
-    return out[0]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, word long, item_id long, item_word long, length long")
