@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import keep
+from .common import free, keep
 from .quality import FEATURES, measure
 
 #: Hash slots of words, and how many of them the classifier uses.
@@ -112,7 +112,9 @@ def domain_of(labels: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def fit_classifier(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("quality", "toxic"), sample: int = SAMPLE) -> Classifier | None:
     """Trained on at most ``sample`` labelled documents, the same ones for the same rows."""
     chosen = F.broadcast(domain_of(labels, columns).orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(chosen, "_id").select("_id", "text", "domain").limit(sample)
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(chosen, "_id").select("_id", "text", "domain")
+    # an id that repeats can bring more rows than were chosen: the same ones whatever the tasks' order
+    rows = rows.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text"), "text").limit(sample)
     got = sorted(rows.collect(), key=lambda r: (r["_id"], r["text"] or ""))
     return train([r["text"] for r in got], [r["domain"] for r in got]) if len({r["domain"] for r in got}) > 1 else None
 
@@ -266,6 +268,7 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], columns
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], **options) -> DataFrame:
     """The documents, each as often as its rate says, with all their columns."""
-    chosen = rates(docs, labels, weights, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))).drop("_id")
-    return taken.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    own, n = free(docs, "own_id"), free(docs, "copies")
+    chosen = rates(docs, labels, weights, **options).groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(n)).where(F.col(n) > 0)
+    taken = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
+    return taken.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(own, n)

@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """Train on at most ``sample`` labelled documents; that bound also bounds what is broadcast and collected."""
     chosen = F.broadcast(sample_labels(labels, label, sample))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("_label", "text").mapInArrow(_training_rows, ", ".join(f"{c} double" for c in ("_label", *FEATURES)))
-    got = rows.limit(sample).toPandas().sort_values(["_label", *FEATURES])  # one order whatever the tasks' order
+    got = rows.orderBy("_label", *FEATURES).limit(sample).toPandas()  # the same rows in one order, whatever the tasks' order
     y = (got.pop("_label").to_numpy() > 0).astype(float)
     if len(np.unique(y)) < 2:
         return None
