@@ -180,3 +180,63 @@ def test_warc_faults():
     assert warc.page_of([*parts[:-1], parts[-1] | {"total": 5}])["fault"] == "the segments' length is not the total"
     broken = [p | {"block": p["block"].replace(b"32\r\n", b"zz\r\n")} for p in parts]
     assert warc.page_of(broken)["fault"] == "the framing is broken"
+
+
+def test_warc_damaged_and_foreign(spark, tmp_path):
+    import gzip
+
+    good = list(warc.page_records("x", 1, "http://a", "0" * 64, None, b"p" * 200))
+    foreign = [warc.record({"WARC-Type": "warcinfo", "WARC-Record-ID": "<i>"}, b"about"), warc.record({"WARC-Type": "response", "WARC-Record-ID": "<a>", "X-Page-Id": 2}, b"HTTP/1.1 200 OK\r\n\r\nbody"), warc.record({"WARC-Type": "response", "WARC-Record-ID": "<b>", "X-Page-Id": 3, "WARC-Payload-Digest": "sha1:ABC"}, b"HTTP/1.1 200 OK\r\n\r\nbody"), warc.record({"WARC-Type": "revisit", "WARC-Record-ID": "<c>", "X-Page-Id": 4}, b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\n"), warc.record({"WARC-Type": "revisit", "WARC-Record-ID": "<d>", "X-Page-Id": 5, "X-Refers-To-Page-Id": 99, "WARC-Payload-Digest": "sha256:00"}, b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\n")]
+    whole = gzip.compress(b"".join(foreign))
+    files = {"a.gz": whole, "b.gz": gzip.compress(b"".join(foreign[:3]))[:-30], "c.gz": b"no gzip", "d.gz": gzip.compress(b"no archive"), "e.gz": gzip.compress(good[0][:-150])}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    manifest = spark.createDataFrame([(n, 1) for n in files], "file string, n_pages long")
+    out = warc.read(spark, str(tmp_path), manifest).collect()
+    rows = {r.page_id: (r.payload_bytes, r.fault) for r in out if r.page_id}
+    assert rows[2] == rows[3] == (4, None)
+    assert rows[4] == (None, "the revisit states no SHA-256 digest") and rows[5] == (None, "the response it names is not there")
+    assert sum(str(r.fault).startswith("the archive is damaged") for r in out) == 4
+
+
+CLASH = ("own_id", "copies", "gone", "_gone", "_copies", "_hit", "_words", "_items", "hot", "cold", "salt", "_facts", "n", "fp", "digest", "first", "_id", "_at", "batch", "rate", "domain", "p")
+
+
+def test_names_that_clash(spark):
+    """Each stage keeps columns with the names that operators use themselves."""
+    from faultline.llm import mixing
+
+    text = "the cat sat on the mat and looked at all the birds that sang in the tall trees by the old stone wall today"
+    rows = [(k, text if k < 3 else f"{text} number {k}", *(f"{c}{k}" for c in CLASH)) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASH))
+    docs = docs.union(docs.where("doc_id = 4"))  # a repeated row
+    labels = spark.createDataFrame([(0, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "number 3")], "item_id long, text string")
+    mine = lambda ids: sorted((rows[i] for i in ids), key=str)
+    kept = lambda df: sorted(map(tuple, df.select(docs.columns).collect()), key=str)
+    assert kept(simhash.keep_one(docs)) == mine([i for i, _, c in brute.simhash([r[:2] for r in rows]) if i == c for _ in range(1 + (i == 4))])
+    assert kept(decontaminate.remove_contaminated(docs, bench)) == mine([0, 1, 2, 4, 4])
+    assert set(kept(mixing.mix(docs, labels, {"all": 1.0}))) <= set(rows)
+    assert quality.keep_good(docs, None).columns == docs.columns
+
+
+def test_hot_keys_are_dealt(spark):
+    """A key that 90 % of the rows have spreads over the join's tasks when nothing else is broadcast."""
+    from pyspark.sql import functions as F
+
+    from faultline.llm.common import keep, with_facts
+
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 10 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("key"))
+    facts = keep(rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in plain}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        met = with_facts(rows, facts, "key", F.col("id"))
+        sizes = met.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 0.5 * 20_000 and sum(r["count"] for r in sizes) == 20_000
+        assert met.where("key = 'hot' and least != 1 or key != 'hot' and least != id").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
