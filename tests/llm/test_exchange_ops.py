@@ -50,33 +50,58 @@ def test_substring_odd(spark, odd, small_batches, width):  # noqa: F811
     assert substring.remove_repeats(odd.limit(0)).count() == 0
 
 
-def model(rows):
+def turing(counts):
+    """Good-Turing factors by the definitions, from all counts of one order: {count: factor}."""
+    n = Counter(counts)
+    if not n[1]:
+        return {}
+    for limit in (5, 4, 3, 2):
+        cut = (limit + 1) * n[limit + 1] / n[1]
+        if cut < 1 and all(n[r] for r in range(1, limit + 1)):
+            found = {r: ((r + 1) * n[r + 1] / n[r] / r - cut) / (1 - cut) for r in range(1, limit + 1)}
+            if all(0 < f < 1 for f in found.values()):
+                return found
+    seen = [r for r in range(1, 7) if n[r]]
+    slope = np.polyfit(np.log(seen), np.log([n[r] for r in seen]), 1)[0] if len(seen) > 1 else -2.0
+    return {r: ((r + 1) / r) ** (1 + min(slope, -1.1)) for r in range(1, 6)}
+
+
+def model(rows, order=2):
     """The same model by plain dictionaries."""
     docs = [(i, zlib.crc32(str(i).encode()) % 5 == 1, [*brute.WORD.findall(brute.lower(t)), None]) for i, t in rows]
-    one, two = Counter(), defaultdict(Counter)
+    one, seen = Counter(), [defaultdict(Counter) for _ in range(order)]  # by the history's length
+    history = lambda tokens, k, size: tuple(["<s>", *tokens][max(0, k + 1 - size) : k + 1])
     for _, held, tokens in docs:
         if not held:
             one.update(tokens)
-            for h, w in zip(["<s>", *tokens], tokens, strict=False):
-                two[h][w] += 1
+            for k, w in enumerate(tokens):
+                for size in range(1, order):
+                    if k + 1 >= size:
+                        seen[size][history(tokens, k, size)][w] += 1
     total = sum(one.values())
-    found = katz.unigrams(total, [sum(c == k for c in one.values()) for k in range(1, 7)], len(one))
-    factor = katz.discounts([sum(c == k for m in two.values() for c in m.values()) for k in range(1, 7)]).factor
-    d = lambda c: factor[c - 1] if c <= len(factor) else 1.0
-    uni = lambda w: float(found.prob(np.array([one[w]]))[0])
+    factor = [turing(one.values()), *(turing(c for m in seen[size].values() for c in m.values()) for size in range(1, order))]
+    d = lambda level, c: factor[level].get(c, 1.0)
+    free = sum((1 - d(0, c)) * c for c in one.values())
+    n_one, free = (total, free) if free > 0 else (total + 1, 1)
+
+    def uni(w):
+        return (d(0, one[w]) * one[w] if one[w] else free) / n_one
 
     def prob(h, w):
-        if h not in two:
+        if not h:
             return uni(w)
-        n, free = sum(two[h].values()), sum((1 - d(c)) * c for c in two[h].values())
-        n, free = (n, free) if free > 1e-12 else (n + 1, 1)
-        return d(two[h][w]) * two[h][w] / n if two[h][w] else free / n / (1 - sum(map(uni, two[h]))) * uni(w)
+        m = seen[len(h)].get(h)
+        if m is None:
+            return prob(h[1:], w)
+        n, left = sum(m.values()), sum((1 - d(len(h), c)) * c for c in m.values())
+        n, left = (n, left) if left > 1e-12 else (n + 1, 1)
+        return d(len(h), m[w]) * m[w] / n if m[w] else left / n / (1 - sum(prob(h[1:], v) for v in m)) * prob(h[1:], w)
 
     out = []
     for i, held, tokens in docs:
         base = sum(math.log10((one[w] + 0.5) / (total + 0.5 * (len(one) + 1))) for w in tokens)
-        out.append((i, held, len(tokens), sum(one[w] > 0 for w in tokens), total, base, sum(math.log10(prob(h, w)) for h, w in zip(["<s>", *tokens], tokens, strict=False))))
-    return sorted(out), prob, one, two
+        out.append((i, held, len(tokens), sum(one[w] > 0 for w in tokens), total, base, sum(math.log10(prob(history(tokens, k, order - 1) if order > 1 else (), w)) for k, w in enumerate(tokens))))
+    return sorted(out), prob, one, seen
 
 
 def same(a, b):
@@ -87,10 +112,10 @@ def same(a, b):
 
 def test_katz(spark, sf_dir):
     rows = rows_of(sf_dir, "documents", "doc_id", "text")
-    out, prob, one, two = model(rows)
+    out, prob, one, seen = model(rows)
     found = got(queries.op9_katz(spark, sf_dir), *OUT9)
     same(found, out)
-    for h in [*list(two)[:10], "the", "unseen"]:  # exactly normalised, the unknown type included
+    for h in [*list(seen[1])[:10], ("the",), ("unseen",)]:  # exactly normalised, the unknown type included
         assert abs(sum(prob(h, w) for w in [*one, "\0unknown"]) - 1) < 1e-9
     held = [r for r in found if r[1]]
     assert sum(r[6] for r in held) > sum(r[5] for r in held)  # better than the add-half unigram on held-out text
@@ -103,3 +128,36 @@ def test_katz_over_batches_and_odd(spark, odd, small_batches):  # noqa: F811
     assert katz.score(odd.limit(0)).count() == 0
     none = katz.score(spark.createDataFrame([(None, None), (None, "a b")], "doc_id long, text string")).collect()
     assert sorted((r.n_tokens, r.held_out) for r in none) == [(1, False), (3, False)]
+
+
+@pytest.mark.parametrize("order", [1, 3])
+def test_katz_orders_and_tables(spark, sf_dir, small_batches, monkeypatch, order):
+    """Other orders, keys of 96 bits, and a stored model that scores other texts."""
+    from faultline.llm.common import fresh_dir
+
+    monkeypatch.setattr(katz, "extra_bits", lambda words: 32)
+    rows = [r for r in rows_of(sf_dir, "documents", "doc_id", "text") if len(r[1] or "") < 3000][:60] + [(900, None), (901, "a"), (902, "a b a b a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, prob, one, seen = model(rows, order)
+    same(got(katz.score(docs, order), *OUT9), want)
+    for h in [*list(seen[-1])[:5], ("unseen", "words")][: 6 if order > 1 else 0]:
+        assert abs(sum(prob(h, w) for w in [*one, "\0unknown"]) - 1) < 1e-9
+    katz.fit(docs, path := fresh_dir(spark, "katz"), order)
+    same(got(katz.score_with(spark, path, docs), *OUT9), want)
+    other = katz.score_with(spark, path, spark.createDataFrame([(1, "nothing like it was ever seen"), (1, "a b")], "doc_id long, text string"))
+    assert other.count() == 2 and all(r.score < 0 for r in other.collect())
+
+
+def test_turing_factors():
+    assert katz.discounts([0, 0, 0, 0, 0, 0]).factor == ()
+    for types in ([100, 40, 22, 14, 10, 7], [100, 40, 22, 5, 9, 7], [10, 9, 8, 8, 8, 9], [7, 0, 0, 0, 0, 0], [3, 0, 5, 0, 0, 1]):
+        counts = [r for r, n in enumerate(types, 1) for _ in range(n)]
+        got_, want = katz.discounts(types).factor, turing(counts)
+        assert np.allclose(got_, [want[r] for r in range(1, len(got_) + 1)]) and len(got_) == len(want) and all(0 < f < 1 for f in got_)
+
+
+def test_keys_beyond_64_bits():
+    assert katz.extra_bits(10**7) == 0 and katz.extra_bits(10**13) == 32
+    keys, more = np.array([5, 5, 3, 5, 3], np.uint64), np.array([1, 0, 2, 1, 2], np.uint32)
+    g = katz._distinct(keys, more)
+    assert list(zip(g.keys.tolist(), g.more.tolist(), strict=True)) == [(3, 2), (5, 0), (5, 1)] and g.at.tolist() == [2, 1, 0, 2, 0]
