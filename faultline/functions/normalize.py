@@ -26,6 +26,7 @@ def _v6() -> str:
 _IP = f"(?:{_V4}|{_v6()})"
 #: An address, bare or in brackets, or either with a port.
 IP = rf"\A(?:{_IP}|\[{_IP}\]|(?:{_IP}|\[{_IP}\]):[0-9]+)\z"
+# The shapes that become wildcards.
 STAMP = r"\A(?:\d{2}\.\d{2}\.\d{4}|\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?)?|\d{2}:\d{2}:\d{2}(?:\.\d+)?)\z"
 DURATION = r"\A\d+(?:\.\d+)?(?:ns|us|µs|μs|ms|s|m|h|d)\z"
 OBJECT = rf"(?s)\A(.+)@{_HEX}{{4,}}\z"

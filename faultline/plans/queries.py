@@ -3,17 +3,19 @@ that says the same wherever SQL can."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Tuning
 from ..functions import exception, header, normalize, rate, time
-from ..functions.redact import MARK, PATTERNS, redact
+from ..functions.redact import redact
 from ..functions.text import capture, escape_visible, head_bytes
 from ..operators import events as ev
 from ..operators import framing, groups, learner, records, views
-from ..session import prepare
-from ..sources.lines import numbered
+from ..session import prepare, shared_dir
+from ..sources.lines import numbered, scan_log
 from . import batch
 
 LEVEL = {"error": "ERROR", "signup": "WARN", "purchase": "INFO", "view": "DEBUG", "click": "TRACE"}
@@ -34,7 +36,7 @@ def _level(kind: F.Column) -> F.Column:
 
 
 def log_events(spark: SparkSession, sf_dir: str, message: str = PLAIN, body: str = "") -> DataFrame:
-    """The events table as framed events, in the order of their times."""
+    """The events table as framed events, in the order of their times; rows without a time or a type are none."""
     rows = _table(spark, sf_dir, "events").where("ts is not null and event_type is not null")
 
     def fill(text: str) -> F.Column:
@@ -51,7 +53,7 @@ def log_events(spark: SparkSession, sf_dir: str, message: str = PLAIN, body: str
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One log per node with every event over several lines."""
+    """One log for each fifth of the users, with every event over five lines (what follows the last newline is none)."""
     rows = log_events(spark, sf_dir, body=STACK).withColumn("source_id", (F.col("user_id") % 5).cast("string"))
     rows = rows.select("source_id", F.floor(F.col("event_id") / 512).alias("block"), "event_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line")).where("k < 5")
     return numbered(rows.select("source_id", "block", (F.col("event_id") * 8 + F.col("k")).alias("pos"), F.col("line").cast("binary").alias("raw"), (F.octet_length("line") + 1).cast("long").alias("size"), F.lit(True).alias("ended")))
@@ -220,17 +222,102 @@ def count_checksum(spark, sf_dir):
     return spark.createDataFrame([(str(views.checksum(found.groups, found.overflow)),)], "checksum string")
 
 
+def log_files(spark, sf_dir):
+    """The events as log files, a loose line first, written and then read: events by their texts."""
+    rows = log_events(spark, sf_dir, body=STACK).select((F.col("user_id") % 5).alias("source"), "seq", F.regexp_replace("text", r"\n\z", "").alias("value"))
+    loose = spark.range(5).select(F.col("id").alias("source"), F.lit(-1).cast("long").alias("seq"), F.lit("no header yet").alias("value"))
+    folder = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    rows.unionByName(loose).repartition("source").sortWithinPartitions("source", "seq").drop("seq").write.partitionBy("source").text(folder, lineSep="\n")
+    events, lost = framing.frame(scan_log(spark, folder), Tuning())
+    name = F.regexp_extract("source_id", "source=([0-9]+)", 1).alias("source")
+    found = events.select(name, F.lit("event").alias("kind"), F.col("seq").alias("line"), F.octet_length("text").cast("long").alias("bytes"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    return found.unionByName(lost.select(name, F.col("reason").alias("kind"), "line", F.col("count").alias("bytes"), F.md5(F.col("sample").cast("binary")).alias("digest")))
+
+
+def invalid_bytes(spark, sf_dir):
+    """Each event's line ends in one to three bytes that are not UTF-8: a diagnostic for the line, and where it is."""
+    rows = log_events(spark, sf_dir).select((F.col("user_id") % 5).cast("string").alias("source_id"), F.floor(F.col("event_id") / 512).alias("block"), F.col("event_id").alias("pos"), F.concat(F.col("text").cast("binary"), F.substring(F.lit(b"\xff\xfe\xfd"), F.lit(1), (F.col("user_id") % 3).cast("int") + 1)).alias("raw"))
+    events, lost = framing.frame(numbered(rows.withColumn("size", F.octet_length("raw").cast("long") + 1).withColumn("ended", F.lit(True))), Tuning())
+    replaced = events.groupBy("source_id").agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\ufffd"), F.lit("")))).alias("replaced"))
+    return lost.groupBy("source_id", "reason").agg(F.count("*").alias("n"), F.sum("count").alias("faults"), F.max("line").alias("last_line"), F.max("offset").alias("last_offset")).join(replaced, "source_id")
+
+
+def byte_limited(spark, sf_dir):
+    """A byte cap that falls within every header line: what is kept, and what is lost."""
+    events, lost = framing.frame(_lines(spark, sf_dir), Tuning(event_max_bytes=64))
+    kept = events.groupBy("source_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("kept"), F.min(F.substring("text", 1, 64)).alias("first"))
+    return kept.join(lost.groupBy("source_id", "reason").agg(F.count("*").alias("cuts"), F.sum("count").alias("lost")), "source_id")
+
+
+def search_pattern(spark, sf_dir):
+    return _shown(views.search(_groups(spark, sf_dir).groups, "re:for (p|CLICK)"))
+
+
+def mute_command(spark, sf_dir):
+    mutes = spark.createDataFrame([(2,), (4,), (99,)], "id long")
+    events = log_events(spark, sf_dir).select("source_id", "seq", "text")
+    found = batch.analyze_events(events, ALL, F.lit("2024-02-01").cast("timestamp"), mutes).groups
+    return _shown(views.ranked(views.snapshot(found, ALL), "muted"))
+
+
+def samples_budget(spark, sf_dir):
+    """A budget for two samples of at most 40 bytes: the youngest groups keep theirs."""
+    tuning = Tuning(levels=ALL.levels, sample_max_bytes=40, sample_budget_bytes=80)
+    return _groups(spark, sf_dir, tuning).groups.select("id", "sample_available", "sample_truncated", F.octet_length("sample").cast("long").alias("bytes"))
+
+
+def selected_count(spark, sf_dir):
+    """Selected events, and diagnostics: lost bytes and stamps without an instant."""
+    found = batch.analyze(_lines(spark, sf_dir), Tuning(levels=("ERROR", "WARN"), event_max_lines=2), F.lit("2024-02-01").cast("timestamp"))
+    return views.counters(found.analysis.events, found.diagnostics)
+
+
+def trend(spark, sf_dir):
+    snap = views.snapshot(_groups(spark, sf_dir, SLOW).groups, SLOW, F.lit(FIRST_MINUTES).cast("timestamp"))
+    return snap.select("id", "is_new", "trend")
+
+
+#: A cap on all groups that the events reach.
+FEW_GROUPS = Tuning(levels=ALL.levels, similarity=1.0, bucket_cap=1000, max_groups=50)
+
+
+def group_cap(spark, sf_dir):
+    """Fifty groups for all users of all levels: counts by level of what has one, and of what has none."""
+    found = _groups(spark, sf_dir, FEW_GROUPS, "user u{user} failed")
+    over = found.overflow.select("level", F.lit(False).alias("grouped"), F.col("count").alias("n"), F.col("global").alias("rejected"))
+    return found.groups.groupBy("level").agg(F.sum("count").alias("n")).select("level", F.lit(True).alias("grouped"), "n", F.lit(0).cast("long").alias("rejected")).unionByName(over)
+
+
+def bucket_counts(spark, sf_dir):
+    return _groups(spark, sf_dir, body=STACK).groups.groupBy("level", "logger", "terminal_exception", "terminal_frame", "token_count").agg(F.count("*").alias("templates"), F.sum("count").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (redact_documents, redact_page_urls, normalize_messages, header_metadata, request_context, exception_identity, frame_events, frame_diagnostics, byte_caps, sample_capture, visible_documents, level_filter, utc_interpretation, dst_faults, ewma_rates, group_rates, search_groups, group_detail, overflow_by_level, group_counts_capped, learn_groups, similarity_pairs, nodes_capped, ndjson_updated, ndjson_created, count_checksum)
+    for f in (redact_documents, redact_page_urls, normalize_messages, header_metadata, request_context, exception_identity, frame_events, frame_diagnostics, byte_caps, sample_capture, visible_documents, level_filter, utc_interpretation, dst_faults, ewma_rates, group_rates, search_groups, group_detail, overflow_by_level, group_counts_capped, learn_groups, similarity_pairs, nodes_capped, ndjson_updated, ndjson_created, count_checksum, log_files, invalid_bytes, byte_limited, search_pattern, mute_command, samples_budget, selected_count, trend, group_cap, bucket_counts)
 } | {"view_volume": _view("volume"), "view_new": _view("new", ALL, now=FIRST_MINUTES), "view_increasing": _view("increasing", SLOW), "view_muted": _view("muted", muted=True)}
 
 
+# What redaction replaces, in its order, as the SQL says it by itself.
+_REDACTED = (
+    (r"(authorization\s*:\s*)\S+(?:\s+\S+)?", r"\1[REDACTED:authorization]"),
+    (r"(\bbearer\s+)[A-Za-z0-9._\-+/=]{8,}", r"\1[REDACTED:bearer]"),
+    (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", r"[REDACTED:jwt]"),
+    (r'''(\b(?:password|passwd|pwd)\s*[=:]\s*)(?:"[^"]*"|'[^']*'|[^\s,;&]+)''', r"\1[REDACTED:password]"),
+    (r'''(\bapi[_-]?key\s*[=:]\s*)(?:"[^"]*"|'[^']*'|[^\s,;&]+)''', r"\1[REDACTED:api_key]"),
+    (r'''(\b(?:(?:access|refresh|id)[_-]?token|token)\s*[=:]\s*)(?:"[^"]*"|'[^']*'|[^\s,;&]+)''', r"\1[REDACTED:token]"),
+    (r"([?&][^=&#\s]+=)([^&#\s]*)", r"\1[REDACTED:query]"),
+    (r"\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b", r"[REDACTED:email]"),
+    (r"\b(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}:)*[0-9a-f]{2,4}::[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)\b", r"[REDACTED:ip]"),
+    (r"(^|[^0-9A-Za-z:])(::1)([^0-9A-Za-z:]|$)", r"\1[REDACTED:ip]\3"),
+    (r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", r"[REDACTED:ip]"),
+)
+
+
 def _redact_sql(column: str) -> str:
-    out = column
-    for name, pattern, keep in PATTERNS:
-        out = f"regexp_replace({out}, '(?i){pattern.replace(chr(39), chr(39) * 2)}', '{keep.format(MARK.format(name)).replace('$', chr(92))}', 'g')"
-    return out
+    for pattern, keep in _REDACTED:
+        column = f"regexp_replace({column}, '(?i){pattern.replace(chr(39), chr(39) * 2)}', '{keep}', 'g')"
+    return column
 
 
 _LEVEL_SQL = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in LEVEL.items()) + " end"
@@ -247,6 +334,10 @@ _LINES = ("java.lang.IllegalStateException: boom", "\tat com.example.{type}.Serv
 _HEAD_SQL = f"strftime(ts, '%d.%m.%Y %H:%M:%S.%g') || ' node-' || (user_id % 7) || ' *' || {_LEVEL_SQL} || '* [worker] com.example.' || event_type || ' request failed after ' || value || 's for ' || event_type"
 _TEXT_SQL = _HEAD_SQL + "".join(" || chr(10) || " + "'" + x.replace("\t", "' || chr(9) || '").replace("{type}", "' || event_type || '") + "'" for x in _LINES) + " || chr(10)"
 
+_VISIBLE_SQL = "replace(text, chr(92), repeat(chr(92), 2))"
+for _code in [*range(1, 10), *range(11, 32), *range(127, 160)]:
+    _VISIBLE_SQL = f"replace({_VISIBLE_SQL}, chr({_code}), chr(92) || '{'t' if _code == 9 else 'r' if _code == 13 else f'x{_code:02x}'}')"
+
 ORACLES: dict[str, str] = {
     "redact_documents": f"select doc_id, {_redact_sql('text')} redacted from documents",
     "redact_page_urls": f"select page_id, {_redact_sql('url')} redacted from pages",
@@ -278,4 +369,24 @@ ORACLES: dict[str, str] = {
         select p_partkey, round(len(list_filter(list_zip(a, b), lambda x: x[1] = x[2])) / len(a), 6) similarity, array_to_string(list_transform(list_zip(a, b), lambda x: case when x[1] = x[2] then x[1] else '<*>' end), ' ') general from q""",
     "nodes_capped": """with s as (select l_returnflag, l_partkey::varchar node, min(l_orderkey * 8 + l_linenumber) f from lineitem group by all), k as (select *, row_number() over (partition by l_returnflag order by f, node) k from s)
         select l_returnflag, string_agg(node, ',' order by node) filter (k <= 256) nodes, least(max(k), 257)::bigint node_count, max(k) > 256 nodes_capped from k group by 1""",
+    "log_files": f"""with e as (select (user_id % 5)::varchar source, {_TEXT_SQL} as t, row_number() over (partition by user_id % 5 order by ts, event_id) k from events)
+        select source, 'event' kind, (2 + 5 * (k - 1))::bigint line, strlen(t)::bigint bytes, md5(t) digest from e
+        union all select distinct source, 'unframed_prefix', 1::bigint, 14::bigint, md5('no header yet' || chr(10)) from e""",
+    "invalid_bytes": f"""with e as (select (user_id % 5)::varchar source_id, event_id, user_id % 3 + 1 f, strlen({_HEAD_SQL}) s, row_number() over (partition by user_id % 5 order by event_id) k from events),
+        o as (select *, sum(s + f + 1) over (partition by source_id order by event_id) - f - 1 fault_at from e)
+        select source_id, 'invalid_utf8' reason, count(*) n, sum(f)::bigint faults, max(k) last_line, max(fault_at)::bigint last_offset, sum(f)::bigint replaced from o group by 1""",
+    "byte_limited": f"""with e as (select (user_id % 5)::varchar source_id, {_TEXT_SQL} as t from events)
+        select source_id, count(*) n, (64 * count(*))::bigint kept, min(left(t, 64)) as first, 'event_byte_limit' reason, count(*) cuts, sum(strlen(t) - 64)::bigint lost from e group by 1""",
+    "search_pattern": f"{_G} select {_V} from v where template like '%for p%' or template like '%for click%'",
+    "mute_command": f"{_G} select {_V} from v where id in (2, 4)",
+    "samples_budget": f"{_G} select id, id > max(id) over () - 2 sample_available, id > max(id) over () - 2 sample_truncated, case when id > max(id) over () - 2 then 40 else 0 end::bigint bytes from v",
+    "selected_count": "select count(*) filter (event_type in ('error', 'signup')) selected_events, sum(strlen('\tat com.example..Service.call(Service.java:7)') + strlen('Caused by: java.io.IOException: gone') + strlen('\tat com.example..Store.read(Store.java:9)') + 2 * strlen(event_type) + 3)::bigint diagnostics from events",
+    "trend": f"{_G}, c as (select *, greatest(epoch_us(timestamp '{FIRST_MINUTES}') - epoch_us(f), 0) / 1e6 age from v) select id, age <= 86400 is_new, case when age <= 86400 then '+' else ' ' end as trend from c",
+    "group_cap": f"""with e as (select *, {_LEVEL_SQL} as level from events), u as (select level, user_id, count(*) n, min((ts, event_id)) f from e group by all), k as (select *, row_number() over (order by f) k from u)
+        select level, k <= 50 as grouped, sum(n)::bigint n, case when k <= 50 then 0 else sum(n) end::bigint rejected from k group by level, k <= 50""",
+    "bucket_counts": "select case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in LEVEL.items()) + " end as level, 'com.example.' || event_type logger, 'java.io.IOException' terminal_exception, 'com.example.' || event_type || '.Store.read' terminal_frame, 6 token_count, 1::bigint templates, count(*) n from events group by event_type",
+    "sample_capture": """select doc_id, case when strlen(text) <= 64 then text else (select arg_max(left(text, k), k) from range(0, 33) r(k) where strlen(left(text, k)) <= 32) || (select arg_max(right(text, k), k) from range(0, 33) r(k) where strlen(right(text, k)) <= 32) end sample,
+        strlen(text)::bigint original_bytes, (case when text = '' then 0 else length(text) - length(replace(text, chr(10), '')) + case when ends_with(text, chr(10)) then 0 else 1 end end)::bigint original_lines, strlen(text) > 64 truncated from documents""",
+    "visible_documents": "select doc_id, " + _VISIBLE_SQL + " visible from documents",
+    "count_checksum": f"{_G}, f as (select flatten(list([id::hugeint, count::hugeint] order by id)) x from v) select (list_reduce(list_concat([0::hugeint], x, [0::hugeint]), lambda a, b: (a * 1000003 + b) % 18446744073709551616::hugeint))::varchar checksum from f",
 }
