@@ -105,6 +105,19 @@ ORACLES: dict[str, str] = {
         v as (select source, lang, 'words-1' tokenizer, len(regexp_extract_all(text, '{_WORDS}')) n from d where doc_id = f
               union all select source, lang, 'bytes-2', strlen(text) from d where doc_id = f)
         select source, lang, tokenizer, count(*)::bigint n_docs, sum(n)::bigint n_tokens from v group by all""",
+    # a prefix-filtered join of distinct word sets; 9 |a & b| >= 4 (|a| + |b|) is a Jaccard similarity of 0.8 or more
+    "op5_line_dedup": f"""
+        with ln as (select doc_id, generate_subscripts(l, 1) k, unnest(l) line from (select doc_id, string_split(coalesce(text, ''), chr(10)) l from documents)),
+        tok as (select doc_id, k, line, list_sort(list_distinct(regexp_extract_all(line, '{_WORDS}'))) w from ln),
+        sets as (select row_number() over () sid, w, len(w) n, p from (select w, min((doc_id, k)) p from tok where len(w) > 0 group by w)),
+        word as (select sid, unnest(w) x from sets),
+        ranked as (select sid, x, row_number() over (partition by sid order by c, x) r from word join (select x, count(*) c from word group by x) using (x)),
+        prefix as (select sid, x from ranked join sets using (sid) where r <= n - (4 * n + 4) // 5 + 1),
+        pairs as (select distinct a.sid later, b.sid earlier from prefix a join prefix b using (x) where a.sid <> b.sid),
+        hit as (select distinct later sid from pairs join sets a on a.sid = later join sets b on b.sid = earlier where b.p < a.p and 9 * len(list_intersect(a.w, b.w)) >= 4 * (a.n + b.n)),
+        judged as (select doc_id, k, line, len(w) > 0 worded, len(w) > 0 and (p <> (doc_id, k) or hit.sid is not null) gone from tok left join sets using (w) left join hit using (sid))
+        select doc_id, count(*) filter (worded)::bigint n_lines, count(*) filter (gone)::bigint n_removed, sha256(coalesce(string_agg(line, chr(10) order by k) filter (not gone), '')) kept_sha256
+        from judged group by doc_id""",
     "op7_decontaminate": f"""
         with doc as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
         item as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
