@@ -77,3 +77,16 @@ def parse(events: DataFrame, text: str = "text") -> DataFrame:
     )
     out = out.withColumns({"timestamp": F.substring(c("_line"), 1, 23), "request_context": request_context(c("thread")), "offsets": F.when(c("_line").isNotNull(), offsets)})
     return out.drop("_line", "_after", "_context", "_rest", "_first", "_own", "_at")
+
+
+def grouping_key() -> Column:
+    """What events of one exact message share: level, logger and message of a parsed event, joined by unit separators."""
+    return F.concat_ws("\x1f", "level", "logger", "message")
+
+
+def exact_key(text: Column) -> Column:
+    """struct(level, key) of an event's text, key being the text from the level on; null unless its first line is a
+    complete header."""
+    line = F.regexp_replace(F.substring_index(text, "\n", 1), r"\r\z", "")
+    node, level = F.regexp_extract(line, HEADER, 2), F.regexp_extract(line, HEADER, 3)
+    return F.when(line.rlike(HEADER), F.struct(level.alias("level"), F.substring(text, F.length(node) + 26, F.lit(2**31 - 1)).alias("key")))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Tuning
@@ -252,6 +252,13 @@ def _learner(tuning: Tuning, max_groups: int | None, watch: bool):
     return run
 
 
+def group_key(slot: Column) -> Column:
+    """A group's identity as text: its bucket and slot, joined by unit separators.  A missing exception and an empty one
+    read alike, so joins are on columns, not on this."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in BUCKET]
+    return F.concat_ws("\x1f", *parts, slot.cast("string"))
+
+
 def with_keys(events: DataFrame) -> DataFrame:
     """Adds v1 and v2, a 128-bit key of each event's bucket and tokens."""
     parts = [p for c in BUCKET for p in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))]

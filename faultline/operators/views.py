@@ -88,6 +88,12 @@ def cells(snap: DataFrame) -> DataFrame:
     return snap.select("id", F.format_string("%.2f", "fast").alias("RATE"), F.col("count").cast("string").alias("COUNT"), F.col("level").alias("LEVEL"), F.col("logger").alias("LOGGER"), F.coalesce("terminal_exception", F.lit("-")).alias("EXCEPT"), F.array_join("template", " ").alias("TEMPLATE"), F.array_join("nodes", ",").alias("NODES"), F.date_format("last_seen", "HH:mm:ss").alias("LAST"))
 
 
+def uptime(seconds: Column) -> Column:
+    """Hours, minutes and seconds of a whole number of seconds."""
+    s = seconds.cast("long")
+    return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+
+
 def counters(events: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """One row: selected_events, and diagnostics, which counts lost bytes and time faults."""
     lost = diagnostics.agg(F.coalesce(F.sum(F.greatest("count", F.lit(1))), F.lit(0)).alias("lost"))

@@ -291,3 +291,44 @@ def test_config():
         with pytest.raises(ConfigError):
             parse(bad)
     assert resolve(parse("version = 1\nlevels = ['INFO']"), ["fatal"], "utc").levels == ("FATAL",)
+
+
+def test_command(spark, tmp_path, capsys):
+    from faultline.__main__ import main
+
+    (tmp_path / "a.log").write_bytes(mixed_guard())
+    assert main([str(tmp_path / "a.log"), "--level", "error", "--search", "re:START bundle"]) == 0
+    assert [line.split("\t")[2:7] for line in capsys.readouterr().out.splitlines()[1:]] == [["12", "ERROR", "com.example.Foo", "-", "Failed to start bundle"]]
+    assert main([str(tmp_path / "none.log")]) == 1 and main(["x", "--level", "LOUD"]) == 2 and main(["x", "--config", str(tmp_path / "no.toml")]) == 2
+    with pytest.raises(SystemExit) as stop:
+        main(["x", "--view", "odd"])
+    assert stop.value.code == 2
+
+
+def test_names_and_uptime(spark):
+    row = header.parse(spark.createDataFrame([(H + "msg\r\nmore", "x", 3_723)], "text string, u string, s int"))
+    assert tuple(row.select(header.exact_key(F.col("text")), header.exact_key(F.col("u")), views.uptime(F.col("s"))).first()) == (("ERROR", "*ERROR* [main] com.example.Foo msg\r\nmore"), None, "1:02:03")
+    assert row.select(header.grouping_key()).first()[0] == "ERROR\x1fcom.example.Foo\x1fmsg"
+    bucket = spark.createDataFrame([("ERROR", "a.B", None, None, 2)], "level string, logger string, terminal_exception string, terminal_frame string, token_count int")
+    assert bucket.select(learner.group_key(F.lit(0))).first()[0] == "ERROR\x1fa.B\x1f\x1f\x1f2\x1f0"
+
+
+def test_full_buckets_learn_what_is_freed(spark):
+    """Vectors that met a full bucket are learned once a merge makes room, as by the plain reading of the rules."""
+    rng = random.Random(8)
+    words = [" ".join(rng.choice("abcd") for _ in range(5)) for _ in range(150)]
+    events = spark.createDataFrame(events_of(words), "source_id string, seq long, text string")
+    for limits in ({"bucket_cap": 3}, {"bucket_cap": 100, "max_groups": 3}):
+        tuning = Tuning(similarity=0.6, **limits)
+        out = batch.analyze_events(events, tuning, arrival())
+        store, counts, over = learner.Store(0.6, limits["bucket_cap"]), {}, 0
+        for w in words:
+            got = store.learn(tuple(w.split()), store.live < tuning.max_groups)
+            over += got.slot is None
+            for m in got.merges:
+                counts[m.survivor] = counts.get(m.survivor, 0) + counts.pop(m.removed, 0)
+            if got.slot is not None:
+                counts[got.slot] = counts.get(got.slot, 0) + 1
+        want = sorted((" ".join(t), counts[k]) for k, t in enumerate(store.slots) if t is not None)
+        assert sorted((" ".join(r.template), r["count"]) for r in out.groups.collect()) == want
+        assert (out.overflow.agg(F.sum("count")).first()[0] or 0) == over
