@@ -240,3 +240,46 @@ def test_hot_keys_are_dealt(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_repeated_rows_null_ids_and_long_texts(spark):
+    """Each operator returns a row for each row: ids that repeat, ids that are null, texts of over a step's 512 KB."""
+    import hashlib
+
+    from faultline.llm import katz, linejoin, mixing, substring
+
+    short = " ".join(f"t{k}" for k in range(30))
+    long = "\n".join(" ".join(f"w{k * 10 + j}" for j in range(10)) for k in range(12_000))
+    rows = [(1, short), (1, short), (None, short + " z"), (None, None), (2, long), (3, long + " x"), (4, "")]
+    assert len(long) > 700_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = sorted(str(i) for i, _ in rows)
+    own = lambda df: sorted(str(r.doc_id) for r in df.select("doc_id").collect())
+
+    out = quality.assess(docs, None).cache()
+    assert own(out) == ids and sorted(out.where("doc_id in (1, 2)").select("doc_id", "n_words").collect()) == [(1, 30), (1, 30), (2, 120_000)]
+    out = simhash.classes(docs).cache()
+    assert own(out) == ids and {r.component_id for r in out.where("doc_id = 3").collect()} == {2}
+    assert sorted(r.doc_id or 0 for r in simhash.keep_one(docs).select("doc_id").collect()) == [0, 0, 1, 1, 2, 4]
+
+    out = substring.remove_repeats(docs).cache()
+    assert own(out) == ids
+    # null ids come first, so both rows with id 1 repeat the text before them; document 3 keeps its last word
+    assert sorted((r.doc_id, r.n_removed) for r in out.where("doc_id in (1, 2, 3)").collect()) == [(1, 30), (1, 30), (2, 0), (3, 120_000)]
+    assert out.where("doc_id = 3").first().kept_sha256 == hashlib.sha256(b"x").hexdigest()
+    out = linejoin.remove_similar_lines(docs).cache()
+    assert own(out) == ids and sorted((r.doc_id, r.n_removed) for r in out.where("doc_id in (1, 2, 3)").collect()) == [(1, 1), (1, 1), (2, 0), (3, 12_000)]
+    bench = spark.createDataFrame([(7, " ".join(f"w{k}" for k in range(119_995, 120_000))), (7, "t28 t29 z")], "item_id long, text string")
+    out = decontaminate.inspect(docs, bench).cache()
+    assert own(out) == ids and sorted((r.doc_id or 0, r.n_hit) for r in out.where("contaminated").collect()) == [(0, 3), (2, 5), (3, 5)]
+    out = tokenfiles.read(spark, where := fresh_dir(spark, "tokens"), tokenfiles.write(docs, where, queries.tokenizer_path())).cache()
+    assert own(out) == ids and out.where("doc_id = 1").select("ids_crc32").distinct().count() == 1
+    starts = sorted((r.start, r.n_tokens) for r in out.collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+    out = katz.score(docs).cache()
+    assert own(out) == ids and out.where("doc_id = 1").select("score").distinct().count() == 1
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert own(mixing.rates(docs, labels, {"quality1_toxic0": 0.5, "quality0_toxic1": 0.5})) == ids
+    pages = docs.select(docs.doc_id.alias("page_id"), docs.text.alias("url"), docs.text.alias("html"))
+    out = warc.read(spark, where := fresh_dir(spark, "warc"), warc.write(pages, where))
+    assert sorted((str(r.page_id), r.fault) for r in out.collect()) == [(i, None) for i in ids]
