@@ -84,6 +84,12 @@ def merged(analysis: Analysis, ids: DataFrame, session: str, emitted_at: Column
     return full.select("seq", _json("group_merged", session, fields, emitted_at).alias("value"))
 
 
+def record_rows(updated: DataFrame, merged: DataFrame, session: str, emitted_at: Column | None = None) -> DataFrame:
+    """group_updated and group_merged (with removed_id) records of groups, merges first."""
+    fields = _group() | {"removed_id": F.col("removed_id"), "sample": F.col("sample"), "sample_truncated": F.col("sample_truncated")}
+    return merged.select(_json("group_merged", session, fields, emitted_at).alias("value")).unionByName(updated.select(_json("group_updated", session, _group(), emitted_at).alias("value")))
+
+
 def parser_errors(diagnostics: DataFrame, session: str, tuning: Tuning, emitted_at: Column | None = None) -> DataFrame:
     sample = redact(F.col("sample"), tuning.extra_patterns)
     cut = head_bytes(sample, tuning.sample_max_bytes)

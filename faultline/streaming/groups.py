@@ -14,7 +14,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +23,7 @@ from ..functions.redact import redact, redact_sample
 from ..functions.text import capture
 from ..operators.groups import MAX_NODES
 from ..operators.learner import BUCKET, CAPACITY, CREATED, Store
+from ..operators.records import record_rows
 
 OUT = "level string, logger string, terminal_exception string, terminal_frame string, token_count int, slot int, merged_into int, created_seq long, count long, first_seen double, last_seen double, template string, nodes array<string>, nodes_capped boolean, fast double, baseline double, sample string, sample_truncated boolean, overflow long"
 
@@ -159,13 +160,37 @@ class Snapshot:
     def at(self, batch: int) -> str:
         return f"{self.path}/batch={batch}"
 
-    def groups(self, spark, mutes: DataFrame | None = None) -> DataFrame:
-        """Live groups with ids in the order of creation; over groups, whose number is capped.  ``mutes``: (id)."""
-        from pyspark.sql import Window
-
+    def _numbered(self, spark) -> DataFrame:
+        """All groups there ever were, with ids in the order of creation; over groups, whose number is capped."""
         rows = spark.read.parquet(self.at(self.versions(spark)[-1]))
-        ids = rows.where("created_seq is not null").withColumn("id", F.row_number().over(Window.orderBy("created_seq")))
-        live = ids.where("merged_into is null and slot >= 0").drop("_batch")
+        return rows.where("created_seq is not null").withColumn("id", F.row_number().over(Window.orderBy("created_seq")))
+
+    def groups(self, spark, mutes: DataFrame | None = None) -> DataFrame:
+        """Live groups.  ``mutes``: (id)."""
+        live = self._numbered(spark).where("merged_into is null and slot >= 0").drop("_batch")
         if mutes is None:
             return live.withColumn("muted", F.lit(False))
         return live.join(mutes.select("id").distinct().withColumn("muted", F.lit(True)), "id", "left").withColumn("muted", F.coalesce("muted", F.lit(False)))
+
+    def records(self, spark, session: str, mutes: DataFrame | None = None, emitted_at: Column | None = None) -> DataFrame:
+        """NDJSON records of what the last batch changed: a group_merged for each group that was merged away, a
+        group_updated for each other group, at most one a group."""
+        version = self.versions(spark)[-1]
+        all_ = self._numbered(spark)
+        live = self.groups(spark, mutes).withColumns({"template": F.array("template"), **{c: F.timestamp_seconds(c) for c in ("first_seen", "last_seen")}})
+        changed = all_.where(F.col("_batch") == version)
+        updated = live.join(changed.select("id"), "id", "left_semi")
+        # a survivor may have been merged as well: follow each to the live one, twice as far at each turn
+        to = all_.where("slot >= 0").select(*BUCKET, "slot", F.coalesce("merged_into", "slot").alias("end")).cache()
+        while True:
+            on = to.select(*(F.col(c).alias(f"_{c}") for c in BUCKET), F.col("slot").alias("_slot"), F.col("end").alias("_end"))
+            same = [to[c].eqNullSafe(on[f"_{c}"]) for c in BUCKET] + [to["end"] == on["_slot"]]
+            further = to.join(on, same).select(*(to[c] for c in BUCKET), "slot", "end", "_end").cache()
+            if further.where("end != _end").isEmpty():
+                break
+            to = further.select(*BUCKET, "slot", F.col("_end").alias("end"))
+        gone = changed.where("merged_into is not null").select(*BUCKET, "slot", F.col("id").alias("removed_id"))
+        ends = to.select(*(F.col(c).alias(f"_{c}") for c in BUCKET), F.col("slot").alias("_slot"), "end")
+        gone = gone.join(ends, [gone[c].eqNullSafe(ends[f"_{c}"]) for c in BUCKET] + [gone["slot"] == ends["_slot"]]).select(*(gone[c].alias(f"_{c}") for c in BUCKET), "removed_id", "end")
+        merged = live.join(gone, [live[c].eqNullSafe(gone[f"_{c}"]) for c in BUCKET] + [live["slot"] == gone["end"]])
+        return record_rows(updated, merged, session, emitted_at)

@@ -10,6 +10,7 @@ from test_engine import H, arrival, framed, mixed_guard
 
 from faultline.config import Tuning
 from faultline.operators import events as ev
+from faultline.operators import records
 from faultline.session import prepare
 from faultline.sources import process
 from faultline.streaming import framer as fr
@@ -141,3 +142,19 @@ def test_end_of_a_process(rocks, tmp_path):
         process._Reader({"argv": json.dumps(argv)}).readBetweenOffsets({"chunk": 0}, {"chunk": 1})
     f = fr.Framer(Tuning())
     assert [o[2] for data in (r[2] for r in rows) for o in (f.push(data) if data else f.finish())] == [H + "one"]
+
+
+def test_records_of_a_batch(spark, tmp_path):
+    row = {"level": "ERROR", "logger": "x", "terminal_exception": None, "terminal_frame": None, "token_count": 1, "merged_into": None, "first_seen": 0.0, "last_seen": 1.5, "template": "t", "nodes": ["n"], "nodes_capped": False, "fast": 0.25, "baseline": 0.5, "sample": "s", "sample_truncated": False, "overflow": 0}
+    batch = lambda *rows: spark.createDataFrame([row | r for r in rows], gr.OUT)
+    made = lambda slot, **more: {"slot": slot, "created_seq": slot + 1, "count": slot + 1} | more
+    snap = gr.Snapshot(str(tmp_path))
+    snap(batch(*map(made, range(5))), 0)
+    assert sorted(json.loads(r.value)["group_id"] for r in snap.records(spark, "s").collect()) == [1, 2, 3, 4, 5]
+    # 4 into 3, 3 into 1, 1 into 0; 2 is updated
+    snap(batch(made(0, count=12), made(2, count=7), *(made(k, merged_into=to) for k, to in ((4, 3), (3, 1), (1, 0)))), 1)
+    found = [r.value for r in snap.records(spark, "s", spark.createDataFrame([(3,)], "id long")).collect()]
+    assert all(records.check(line) is None for line in found)
+    found = [json.loads(line) for line in found]
+    assert sorted((r["type"], r["group_id"], r.get("removed_id"), r["count"], r["muted"]) for r in found if r["type"] == "group_merged") == [("group_merged", 1, 2, 12, False), ("group_merged", 1, 4, 12, False), ("group_merged", 1, 5, 12, False)]
+    assert sorted((r["group_id"], r["count"], r["muted"], r["last_seen"]) for r in found if r["type"] == "group_updated") == [(1, 12, False, "1970-01-01T00:00:01.500Z"), (3, 7, True, "1970-01-01T00:00:01.500Z")]
