@@ -37,7 +37,11 @@ def _level(kind: F.Column) -> F.Column:
 
 def log_events(spark: SparkSession, sf_dir: str, message: str = PLAIN, body: str = "") -> DataFrame:
     """The events table as framed events, in the order of their times; rows without a time or a type are none."""
-    rows = _table(spark, sf_dir, "events").where("ts is not null and event_type is not null")
+    rows = _table(spark, sf_dir, "events")
+    tasks = spark.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) < tasks:  # a file or two would be parsed in as many tasks: deal the narrow rows first
+        rows = rows.repartition(tasks)
+    rows = rows.where("ts is not null and event_type is not null")
 
     def fill(text: str) -> F.Column:
         parts = text
