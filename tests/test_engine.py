@@ -332,3 +332,17 @@ def test_full_buckets_learn_what_is_freed(spark):
         want = sorted((" ".join(t), counts[k]) for k, t in enumerate(store.slots) if t is not None)
         assert sorted((" ".join(r.template), r["count"]) for r in out.groups.collect()) == want
         assert (out.overflow.agg(F.sum("count")).first()[0] or 0) == over
+
+
+def test_events_at_one_time(spark, tmp_path):
+    """Rows that share a time, with ids alike in their last digits: still one row a group, ids in the order of events."""
+    from faultline.plans import queries
+
+    at = dt.datetime(2024, 1, 1, 0, 6, 30)
+    kinds = ((999, "view"), (1000, "click"), (1999, "view"), (2000, "click"), (2999, "error"), (None, "signup"))
+    rows = [(i, at, 1, kind, 1.5) for i, kind in kinds] + [(5000, at + dt.timedelta(seconds=9), 2, "purchase", 2.5)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    want = {"view": 1, "click": 2, "error": 3, "signup": 4, "purchase": 5}
+    assert sorted(tuple(r) for r in queries.QUERIES["trend"](spark, str(tmp_path)).collect()) == [(k, True, "+") for k in range(1, 6)]
+    found = queries.QUERIES["view_volume"](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.logger, r["count"]) for r in found) == [(k, f"com.example.{kind}", 2 if k <= 2 else 1) for kind, k in want.items()]
