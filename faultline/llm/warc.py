@@ -26,13 +26,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep, partitions, with_facts
 from .tokenfiles import _store
 
 LEAST, SEGMENT, CHUNK = 100, 8192, 2048
+#: Slots that tell digests that may repeat: a bit each, so at most 2^18 rows are broadcast, whatever the corpus.
+SLOTS = 1 << 24
 DATE = "2024-01-01T00:00:00Z"
 #: The kind of the row that stands for what can't be read of a file.
 DAMAGED = "damaged"
@@ -45,11 +47,21 @@ def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # only digests that repeat are met, and of those a hot one's rows are dealt over all tasks
-    repeated = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    met = with_facts(rows, keep(repeated), "digest", F.coalesce(F.col("page_id"), F.xxhash64("url")))
+    repeated = keep(rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"))
+    # payloads are moved for that only where the digest's slot is one of a repeated digest; other rows stay where they are read
+    marks = repeated.select(_slot()).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    told = rows.withColumn("slot", _slot()).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(marks), "word", "left")
+    told = told.withColumn("maybe", F.expr("coalesce(shiftright(bits, cast(slot % 64 as int)) & 1L, 0L) = 1L"))
+    alone = told.where("not maybe").select(*rows.columns, F.lit(None).cast("long").alias("first"))
+    met = with_facts(told.where("maybe").select(*rows.columns), repeated, "digest", F.coalesce(F.col("page_id"), F.xxhash64("url")))
+    met = alone.unionByName(met)
     return met.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))).drop("first")
 
 
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(SLOTS)).alias("slot")
+
+
 def chunked(body: bytes, size: int = CHUNK) -> bytes:
     parts = [body[k : k + size] for k in range(0, len(body), size)]
     return b"".join(b"%x\r\n%b\r\n" % (len(p), p) for p in parts) + b"0\r\n\r\n"
