@@ -61,8 +61,9 @@ def pack(*arrays: np.ndarray, rising: int = 0) -> bytes:
     for k, x in enumerate(arrays):
         kind = x.dtype.str.encode().ljust(4)
         x = np.diff(x, prepend=x.dtype.type(0)) if k < rising else x
-        planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize)
-        used = x.itemsize if x.dtype.kind == "f" else max((j + 1 for j in range(x.itemsize) if planes[:, j].any()), default=0)
+        x = np.ascontiguousarray(x)
+        planes = x.view(np.uint8).reshape(-1, x.itemsize)
+        used = x.itemsize if x.dtype.kind == "f" else -(-int(x.view(f"u{x.itemsize}").max(initial=0)).bit_length() // 8)
         out.append(struct.pack("<4sqB", kind, len(x), used) + np.ascontiguousarray(planes[:, :used].T).tobytes())
     return _pressed(struct.pack("<BB", len(arrays), rising) + b"".join(out), 1)
 

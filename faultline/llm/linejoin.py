@@ -7,10 +7,12 @@ with the set's size, the word's place, a sketch of the set and the class's place
 filter, the positional filter and the sketch leave few pairs, whose sets then meet and are compared in full.
 
 A line goes if an earlier line matches it (lines are judged on the input).  For that one match is enough: each
-class first tries its earliest candidates, ``TRIES`` per word, and only classes that had more and matched none
+class first tries early candidates of its size, ``TRIES`` per word, and only classes that had more and matched none
 try all the rest; so a crowd of similar lines costs rows in proportion to its members.  For that second round only
 words in the slots of the undecided classes' prefixes are sent again.  Pairs name lines by their number in the
-batch, so that comparing them reads the words of those lines alone.
+batch, so that comparing them reads the words of those lines alone.  A batch's text is cut into words twice: for the
+counts, and for the sets.  The second time notes where each class's prefix words are, and the sketches; what is sent
+later needs the hashes of those words alone.
 
 Lines without words are kept and match nothing.  Null and empty texts have no lines that match.  Rows that
 repeat an id follow the order of the store; rows with a null id come first.  Other columns are ignored.
@@ -37,6 +39,8 @@ NUM, DEN = 4, 5
 SLOTS, PARTS, TRIES = 1 << 18, 16, 4
 #: Groups of batches in which the sketch is summed before the groups are.
 GROUPS = 512
+#: Pairs that are tried at a time.
+STEP = 1 << 14
 #: Words of a sketch (a power of two), and the size over which a set uses them all.
 SKETCH, WIDE = 4, 96
 
@@ -67,48 +71,62 @@ def _begin(docs: X.Docs, breaks: np.ndarray) -> np.ndarray:
     return np.searchsorted(breaks, docs.text.offs[:-1]) + np.arange(len(docs.ids))
 
 
-def _distinct(line: np.ndarray, hashes: np.ndarray, rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Lines and their distinct tokens, by line, rarity class (where given) and hash."""
-    rank = rarity[_slot(hashes)].astype(K.U64) if rarity is not None else None
-    room = 64 - int(line.max() if len(line) else 0).bit_length()
-    # one sort by line, rank and leading hash bits; lines with a tie between different words are sorted out in full
-    if rank is None:
-        tight = (line.astype(K.U64) << K.U64(room % 64)) | (hashes >> K.U64(64 - room))
-    else:
-        tight = (line.astype(K.U64) << K.U64(room % 64)) | (rank << K.U64(room - 12)) | (hashes >> K.U64(76 - room))
-    order = np.argsort(tight)
-    tie = (tight[order[1:]] == tight[order[:-1]]) & (hashes[order[1:]] != hashes[order[:-1]])
-    if tie.any():
-        own = np.flatnonzero(np.isin(line[order], line[order[1:][tie]]))
-        again = order[own]
-        order[own] = again[np.lexsort((hashes[again], line[again]) if rank is None else (hashes[again], rank[again], line[again]))]
-    line, hashes = line[order], hashes[order]
-    new = np.append(True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])) if len(line) else np.zeros(0, bool)
-    return line[new], hashes[new]
+def _distinct(line: np.ndarray, hashes: np.ndarray, rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines and their distinct tokens, by line, rarity class (where given) and hash, and a word that has the token.
+    Lines rise; they are sorted some ten thousand words at a time."""
+    if not len(line):
+        return line, hashes, np.zeros(0, np.int64)
+    out = []
+    cuts = np.unique(np.append(np.searchsorted(line, line[:: 1 << 16]), len(line))).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        own, token = (line[a:b] - line[a]).astype(K.U64), hashes[a:b]
+        # one sort of values: line, rank, leading hash bits, word
+        inner = max(b - a - 1, 1).bit_length()
+        room = 64 - inner - int(own[-1]).bit_length()
+        if rarity is None:
+            body = token >> K.U64(64 - room)
+        else:
+            rank = rarity[_slot(token)].astype(K.U64)
+            body = (rank << K.U64(room - 12)) | (token >> K.U64(76 - room))
+        tight = (own << K.U64((room + inner) % 64)) | (body << K.U64(inner)) | np.arange(b - a, dtype=K.U64)
+        tight.sort()
+        order = (tight & K.U64((1 << inner) - 1)).astype(np.int64)
+        tight >>= K.U64(inner)
+        found = token[order]
+        tie = (tight[1:] == tight[:-1]) & (found[1:] != found[:-1])
+        if tie.any():  # lines with a tie between different words are sorted in full
+            at = np.flatnonzero(np.isin(own[order], own[order[1:][tie]]))
+            again = order[at]
+            order[at] = again[np.lexsort((token[again], own[again]) if rarity is None else (token[again], rank[again], own[again]))]
+            found = token[order]
+        own = own[order]
+        new = np.append(True, (own[1:] != own[:-1]) | (found[1:] != found[:-1]))
+        out.append((own[new].astype(np.int64) + line[a], found[new], order[new] + a))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> K.U64(46)).astype(np.int64)
 
 
-def _lines(docs: X.Docs) -> Lines:
-    """The batch's lines, their tokens in the order of their hashes."""
-    _, hashes, line, begin = _line_words(docs)
-    line, hashes = _distinct(line, hashes, None)
+def _lines(docs: X.Docs, rarity: np.ndarray) -> tuple[Lines, np.ndarray, np.ndarray]:
+    """The batch's lines, their tokens in the order of rarity and hash, and where a word of each token begins and ends."""
+    words, hashes, line, begin = _line_words(docs)
+    line, hashes, which = _distinct(line, hashes, rarity)
     head = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
     own = line[head]
     row = np.searchsorted(begin, own, side="right") - 1
     if not len(head):
-        return Lines(row, own, np.zeros(1, np.int64), hashes, hashes, hashes.astype(np.uint32))
+        return Lines(row, own, np.zeros(1, np.int64), hashes, hashes, hashes.astype(np.uint32)), which, which
     size = np.diff(np.append(head, len(line)))
-    total = np.add.reduceat(K.mix(hashes), head)
-    other = np.add.reduceat(K.mix(hashes ^ K.U64(0x8EBC6AF09C88C6E3)), head)
-    return Lines(row, own, np.append(head, len(line)), hashes, K.mix(total + size.astype(K.U64)), (K.mix(other) >> K.U64(32)).astype(np.uint32))
+    # tokens are mixed already; sums of them and of their products with what they are shifted by are independent
+    total = np.add.reduceat(hashes, head)
+    other = np.add.reduceat(hashes * (hashes >> K.U64(29)), head)
+    return Lines(row, own, np.append(head, len(line)), hashes, K.mix(total + size.astype(K.U64)), (K.mix(other) >> K.U64(32)).astype(np.uint32)), words.start[which], words.end[which]
 
 
-def _sets(docs: X.Docs, at: np.ndarray, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For lines by their rising numbers in the batch: where their tokens begin (lines + 1), and these tokens.
-    Reads these lines only; each has a word."""
+def _line_spans(docs: X.Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each line of the batch begins and ends, and each document's first line."""
     breaks, offs = np.flatnonzero(docs.text.buf == 0x0A), docs.text.offs
     begin = _begin(docs, breaks)
     lines = len(breaks) + len(docs.ids)
@@ -120,17 +138,25 @@ def _sets(docs: X.Docs, at: np.ndarray, rarity: np.ndarray | None = None) -> tup
     inner[:] = True
     inner[last] = False
     end[last], end[inner] = offs[1:], breaks
-    size = (end - start)[at]
-    cut = np.append(0, np.cumsum(size))
-    buf = np.empty(int(cut[-1]), np.uint8)
-    for a, b, n, m in zip(start[at].tolist(), end[at].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        buf[n:m] = docs.text.buf[a:b]
-    text = K.Text(buf, cut)
+    return start, end, begin
+
+
+def _sets(docs: X.Docs, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lines by their rising numbers in the batch: where their tokens begin (lines + 1), and these tokens by hash.
+    Reads these lines only; each has a word."""
+    start, end, _ = _line_spans(docs)
+    text = _cut_out(docs.text.buf, start[at], (end - start)[at])
     words = K.find_words(text)
-    line, tokens = _distinct(K.row_ids(words.row), K.hash_words(text, words), rarity)
+    line, tokens, _ = _distinct(K.row_ids(words.row), K.hash_words(text, words), None)
     return np.searchsorted(line, np.arange(len(at) + 1)), tokens
 
 
+def _cut_out(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> K.Text:
+    """Pieces of a buffer, one after another."""
+    cut = np.append(0, np.cumsum(size, dtype=np.int64))
+    return K.Text(buf[np.repeat(start - cut[:-1], size) + np.arange(int(cut[-1]))], cut)
+
+
 def _prefix(n: np.ndarray) -> np.ndarray:
     """How many of a set's rarest words are sent."""
     return n - (NUM * n + DEN - 1) // DEN + 1
@@ -180,34 +206,40 @@ def rarity_classes(stored: DataFrame) -> np.ndarray:
     return np.minimum(np.log2(1.0 + count) * 100, 4095).astype(np.uint16)
 
 
-def _send_wanted(rarity: np.ndarray):
+def _send_wanted(batch: int, docs: X.Docs, answers: list[list[np.ndarray]]) -> pa.RecordBatch:
     """Marks the slots of the prefix words of undecided classes."""
-
-    def work(batch: int, docs: X.Docs, answers: list[list[np.ndarray]]) -> pa.RecordBatch:
-        if not answers or not answers[0]:
-            return X.rows([])
-        first, tokens = _sets(docs, np.unique(answers[0][0]), rarity)
-        n = np.diff(first)
-        place = np.arange(len(tokens)) - np.repeat(first[:-1], n)
-        marked = np.zeros(SLOTS, np.uint8)
-        marked[_slot(tokens[place < np.repeat(_prefix(n), n)])] = 1
-        return X.rows([(k, batch, X.pack(x)) for k, x in enumerate(np.split(marked, PARTS))])
-
-    return work
+    if len(answers) < 4 or not answers[3]:
+        return X.rows([])
+    known = _known(docs, answers)
+    marked = np.zeros(SLOTS, np.uint8)
+    marked[_slot(known.tokens[np.isin(known.at, answers[3][0])[known.each]])] = 1
+    return X.rows([(k, batch, X.pack(x)) for k, x in enumerate(np.split(marked, PARTS))])
 
 
-#: The bucket of the rows by which a batch tells itself its lines and their classes.
-INDEX = -1
+#: The buckets of the rows by which a batch tells itself its lines and their classes, and the classes' prefixes.
+INDEX, PREFIX = -1, -2
 
 
-def _send_sets(buckets: int):
-    """The distinct sets to their buckets, and the batch's index: each line's number, its class, first lines."""
+def _send_sets(rarity: np.ndarray, buckets: int):
+    """The distinct sets to their buckets; the batch's index: each line's number, its class, first lines; and of the
+    first lines of sets that can match others, in order: where in the line each prefix word is, and the sketches."""
 
     def send(batch: int, docs: X.Docs) -> list[tuple]:
-        lines = _lines(docs)
+        lines, start, end = _lines(docs, rarity)
         classes = _classes(lines)
-        first = classes.first
-        out: list[tuple] = [(INDEX, batch, X.pack(lines.at, classes.of, first, np.diff(lines.first), rising=1))] if len(first) else []
+        first, n = classes.first, np.diff(lines.first)
+        out: list[tuple] = [(INDEX, batch, X.pack(lines.at, classes.of, first, n, rising=1))] if len(first) else []
+        own = _joined(first, n)
+        if len(own):
+            size = _prefix(n[own])
+            each = np.repeat(np.arange(len(own)), size)
+            token = lines.first[own][each] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+            length, tokens = _gather(lines.first, lines.tokens, own)
+            head = np.append(0, np.cumsum(length))
+            marks = _sketches(head, tokens)
+            wide = length > WIDE
+            inside = start[token] - _line_spans(docs)[0][lines.at[own]][each]
+            out.append((PREFIX, batch, X.pack(inside.astype(np.uint32), (end - start)[token].astype(np.uint32), marks[0], *(m[wide] for m in marks[1:]))))
         high, low, ids = lines.key[first], lines.low[first], docs.ids[lines.row[first]]
         for bucket, s in X.spans(high, buckets):
             used, where = np.unique(ids[s], return_inverse=True)
@@ -226,6 +258,50 @@ class Index(NamedTuple):
     size: np.ndarray  # each line's distinct words
 
 
+def _joined(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The lines that stand for a class whose set can match other ones than equals, in order."""
+    own = np.sort(first)
+    return own[size[own] >= NUM // (DEN - NUM)]
+
+
+class Known(NamedTuple):
+    """The owned classes that can match others, by their first lines, and their prefix words."""
+
+    at: np.ndarray  # the line's number in the batch
+    ids: np.ndarray  # its document
+    size: np.ndarray
+    marks: list[np.ndarray]
+    each: np.ndarray  # of each prefix word: its class, counted as above
+    place: np.ndarray
+    tokens: np.ndarray
+
+
+def _known(docs: X.Docs, answers: list[list[np.ndarray]]) -> Known:
+    """From the owners, the index and the prefixes: only the prefix words are hashed again."""
+    index, owned = _index(answers)
+    if len(answers) < 3 or not answers[2]:
+        none = np.zeros(0, np.int64)
+        return Known(none, none, none, [none.astype(K.U64)] * SKETCH, none, none, none.astype(K.U64))
+    here = np.zeros(len(index.at), bool)
+    here[index.first[owned]] = True
+    own = _joined(index.first, index.size)
+    inside, length, *marks = answers[2]
+    n = index.size[own].astype(np.int64)
+    marks = [marks[0], *(_spread(m, n > WIDE) for m in marks[1:])]
+    size = _prefix(n)
+    each = np.repeat(np.arange(len(own)), size)
+    place = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+    use = here[own]
+    start, _, begin = _line_spans(docs)
+    at = index.at[own]
+    start = start[at][each] + inside
+    ids = docs.ids[np.searchsorted(begin, at, side="right") - 1]
+    word = use[each]
+    text = _cut_out(docs.text.buf, start[word], length[word].astype(np.int64))
+    tokens = K.hash_words(text, K.Words(text.offs[:-1], text.offs[1:], text.offs))
+    return Known(at[use], ids[use], n[use], [m[use] for m in marks], (np.cumsum(use) - 1)[each[word]], place[word], tokens)
+
+
 def _index(answers: list[list[np.ndarray]]) -> tuple[Index, np.ndarray]:
     """The index, and the classes whose first line in the corpus is in this batch."""
     if len(answers) < 2 or not answers[1]:
@@ -257,6 +333,13 @@ def _sketches(first: np.ndarray, tokens: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _spread(x: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The values at their places, zero elsewhere."""
+    out = np.zeros(len(where), x.dtype)
+    out[where] = x
+    return out
+
+
 def _differ(a: list[np.ndarray], b: list[np.ndarray], wide: np.ndarray) -> np.ndarray:
     """Bits in which sketches differ, folded to one word unless both are wide."""
     full = sum(np.bitwise_count(x ^ y).astype(np.int64) for x, y in zip(a, b, strict=True))
@@ -264,87 +347,119 @@ def _differ(a: list[np.ndarray], b: list[np.ndarray], wide: np.ndarray) -> np.nd
     return np.where(wide, full, fold)
 
 
-def _touched(docs: X.Docs, at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Which of the lines have any word in the wanted slots."""
-    _, hashes, line, _ = _line_words(docs)
-    return np.isin(at, line[wanted[_slot(hashes)]])
-
-
-def _send_prefixes(rarity: np.ndarray, buckets: int, wanted: np.ndarray | None = None):
+def _send_prefixes(buckets: int, wanted: np.ndarray | None = None):
     """(word; documents, line, size, place, document, whether to try, sketch) for the prefix words of owned classes,
     each named by its first line; with ``wanted``, for the words in its slots."""
 
     def work(batch: int, docs: X.Docs, answers: list[list[np.ndarray]]) -> pa.RecordBatch:
-        index, owned = _index(answers)
-        own = np.sort(index.first[owned])
-        own = own[index.size[own] >= NUM // (DEN - NUM)]  # smaller sets match equals only
-        own = index.at[own]
-        if wanted is not None:
-            own = own[_touched(docs, own, wanted)]
-        first, tokens = _sets(docs, own, rarity)
-        n = np.diff(first)
+        own, ids, n, marks, each, place, token = _known(docs, answers)
         tries = np.ones(len(own), np.uint8)
         if wanted is not None:  # a later round: only what is undecided tries
-            tries = np.isin(own, answers[2][0] if len(answers) > 2 and answers[2] else []).astype(np.uint8)
-        size = _prefix(n)
-        each = np.repeat(np.arange(len(own)), size)
-        place = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-        token = tokens[first[each] + place]
-        if wanted is not None:
+            tries = np.isin(own, answers[3][0] if len(answers) > 3 and answers[3] else []).astype(np.uint8)
             use = wanted[_slot(token)]
             each, place, token = each[use], place[use], token[use]
-        order = np.argsort(token, kind="stable")
+        order = np.argsort(token)
         at = each[order]
-        token, ids = token[order], docs.ids[_rows(docs, own)[0]][at]
-        carried = [own[at].astype(np.uint32), n[at].astype(np.uint32), place[order].astype(np.uint32), tries[at], *(m[at] for m in _sketches(first, tokens))]
+        token, ids = token[order], ids[at]
+        carried = [own[at].astype(np.uint32), n[at].astype(np.uint32), place[order].astype(np.uint32), tries[at], *(m[at] for m in marks)]
         out = []
         for bucket, s in X.spans(token, buckets):
             used, where = np.unique(ids[s], return_inverse=True)
             line, size, place, tried, *marks = (x[s] for x in carried)
-            out.append((bucket, batch, X.pack(token[s], used, line, size, place, where.astype(np.uint32), tried, *marks, rising=2)))
+            wide = size > WIDE  # others have only the first word of the sketch
+            out.append((bucket, batch, X.pack(token[s], used, line, size, place, where.astype(np.uint32), tried, marks[0], *(m[wide] for m in marks[1:]), rising=2)))
         return X.rows(out)
 
     return work
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """Sorts by several keys of small numbers, the first one first: by one sort where they fit into a word."""
+    bits = [int(x.max(initial=0)).bit_length() for x in keys]
+    if sum(bits) > 63:
+        return np.lexsort(keys[::-1])
+    tight = np.zeros(len(keys[0]), np.int64)
+    for x, n in zip(keys, bits, strict=True):
+        tight = (tight << n) | x.astype(np.int64)
+    return np.argsort(tight)
+
+
+def _size_class(n: np.ndarray) -> np.ndarray:
+    """A class of each size, from 1; sets whose classes are not neighbours are too unlike in size to match."""
+    starts = [1]
+    while starts[-1] <= int(n.max(initial=0)):
+        starts.append(starts[-1] * DEN // NUM + 1)
+    return np.searchsorted(starts, n, side="right")
+
+
 def _pair_up(skip: int, most: int):
     """For each batch: (line, batch of the earlier line, that line), and the lines that had more than ``most``."""
 
     def answer(batches: list[int], sent: list[list[np.ndarray]]) -> tuple[list[bytes | None], list[int]]:
         size = [len(x[0]) for x in sent]
         source = np.repeat(np.arange(len(sent)), size)
-        key, line, n, place, tries, *bits = (np.concatenate([x[k] for x in sent]) for k in (0, 2, 3, 4, 6, *range(7, 7 + SKETCH)))
-        ids = np.concatenate([x[1][x[5]] for x in sent])
-        order = np.lexsort((line, source, ids, key))
-        source, key, line, n, place, tries, *bits = (x[order] for x in (source, key, line, n.astype(np.int64), place.astype(np.int64), tries, *bits))
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        length = np.diff(np.append(head, len(key)))
-        start = np.repeat(head, length)
-        place_in = np.arange(len(key)) - start
-        passed = np.zeros(len(key), np.int64)
+        key = np.concatenate([x[0] for x in sent])
+        order = np.argsort(key, kind="stable")
+        # most words are in one line only, and go no further
+        same = key[order[1:]] == key[order[:-1]]
+        order = order[np.append(same, False) | np.append(False, same)] if len(key) else order
+        if not len(order):
+            return [None] * len(batches), []
+        ids = np.concatenate([x[1][x[5]] for x in sent])[order]
+        line, n, place, tries, *bits = (np.concatenate([x[k] for x in sent]) for k in (2, 3, 4, 6, *range(7, 7 + SKETCH)))
+        bits = [bits[0], *(_spread(m, n > WIDE) for m in bits[1:])]
+        source, key, line, n, place, tries, *bits = (x[order] for x in (source, key, line, n, place, tries, *bits))
+        # a word's lines by class of size, and in these in the order of the corpus
+        rank, kind, total = np.empty(len(key), np.int64), _size_class(n), len(key)
+        rank[_order(np.unique(ids, return_inverse=True)[1], source, line)] = np.arange(total)
+        order = _order(np.cumsum(np.append(False, key[1:] != key[:-1])), kind, rank)
+        source, key, line, n, place, tries, kind, rank, *bits = (x[order] for x in (source, key, line, n.astype(np.int64), place.astype(np.int64), tries, kind, rank, *bits))
+        room = n - place
+        new = np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))
+        head, group = np.flatnonzero(new), np.cumsum(new) - 1
+        at = group * total + rank
+        passed = np.zeros(total, np.int64)
         found = []
-        active = np.flatnonzero((place_in > 0) & (tries > 0))
-        k = 0
-        while len(active):
-            y, x = active, start[active] + k
-            need = -(-NUM * (n[x] + n[y]) // (NUM + DEN))
-            # at the first word that two sets share, all that they share is still to come in both
-            ok = np.minimum(n[x] - place[x], n[y] - place[y]) >= need
-            at = np.flatnonzero(ok)
-            u, v = x[at], y[at]
-            ok[at] = n[u] + n[v] - _differ([w[u] for w in bits], [w[v] for w in bits], np.minimum(n[u], n[v]) > WIDE) >= 2 * need[at]
-            passed[y[ok]] += 1
-            take = ok & (passed[y] > skip) & (passed[y] <= skip + most)
-            found.append((y[take], x[take]))
-            k += 1
-            active = active[(place_in[active] > k) & (passed[active] <= skip + most)]
+        trying = np.flatnonzero(tries > 0)
+        for step in (0, -1, 1):  # a set that can match is of the same class of size or the next one
+            there = np.clip(group[trying] + step, 0, len(head) - 1)
+            near = (key[head[there]] == key[trying]) & (kind[head[there]] == kind[trying] + step)
+            active, there = trying[near], there[near]
+            start = head[there]
+            count = np.searchsorted(at, there * total + rank[active]) - start
+            k = 0
+            while True:
+                live = (count > k) & (passed[active] <= skip + most)
+                active, start, count = active[live], start[live], count[live]
+                if not len(active):
+                    break
+                # the next candidates of each: one, or more where few lines are left
+                width = np.minimum(count - k, max(1, STEP // len(active)))
+                y = np.repeat(active, width)
+                x = np.arange(len(y)) + np.repeat(start + k - (np.cumsum(width) - width), width)
+                need = -(-NUM * (n[x] + n[y]) // (NUM + DEN))
+                # at the first word that two sets share, all that they share is still to come in both
+                maybe = np.flatnonzero(np.minimum(room[x], room[y]) >= need)
+                u, v = x[maybe], y[maybe]
+                good = n[u] + n[v] - _differ([w[u] for w in bits], [w[v] for w in bits], np.minimum(n[u], n[v]) > WIDE) >= 2 * need[maybe]
+                u, v = u[good], v[good]
+                nth = passed[v] + np.arange(len(v)) - np.searchsorted(v, v) + 1
+                take = (nth > skip) & (nth <= skip + most)
+                found.append((v[take], u[take]))
+                last = np.append(v[1:] != v[:-1], True)[: len(v)]
+                passed[v[last]] = nth[last]
+                k += max(1, STEP // len(active))
         y, x = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else ((), ())))
-        more = passed > skip + most
+        more = np.flatnonzero(passed > skip + most)
+        by = np.argsort(source[y], kind="stable")
+        y, x, more = y[by], x[by], more[np.argsort(source[more], kind="stable")]
+        edges = np.arange(len(batches) + 1)
+        cut, cut_more = (np.searchsorted(source[z], edges).tolist() for z in (y, more))
         out: list[bytes | None] = []
         for b in range(len(batches)):
-            mine = source[y] == b
-            pair = np.unique(np.column_stack((line[y[mine]], np.array(batches, np.int64)[source[x[mine]]], line[x[mine]])).astype(np.int64), axis=0)
-            extra = np.unique(line[(source == b) & more]).astype(np.int64)
+            mine = slice(cut[b], cut[b + 1])
+            pair = np.unique(np.column_stack((line[y[mine]], np.array(batches, np.int64)[source[x[mine]]], line[x[mine]])).astype(np.int64), axis=0) if cut[b + 1] > cut[b] else np.zeros((0, 3), np.int64)
+            extra = np.unique(line[more[cut_more[b] : cut_more[b + 1]]]).astype(np.int64)
             out.append(X.pack(pair[:, 0].copy(), pair[:, 1].copy(), pair[:, 2].copy(), extra) if len(pair) or len(extra) else None)
         return out, []
 
@@ -435,13 +550,13 @@ def remove_similar_lines(docs: DataFrame) -> DataFrame:
     sizes = X.plan(docs)
     stored = X.store(docs, sizes.batch_bytes)
     rarity = rarity_classes(stored)
-    sets = keep(X.first_pass(stored, _send_sets(sizes.buckets)))
-    owners = keep(X.meet(sets.where(F.col("bucket") != INDEX), _match_windows))
-    index = sets.where(F.col("bucket") == INDEX)
+    sets = keep(X.first_pass(stored, _send_sets(rarity, sizes.buckets)))
+    owners = keep(X.meet(sets.where(F.col("bucket") >= 0), _match_windows))
+    index, prefixes = (sets.where(F.col("bucket") == k) for k in (INDEX, PREFIX))
     release(docs.sparkSession)
 
     def round_(skip: int, most: int, undecided: list[DataFrame], wanted: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
-        sent = X.later_pass(stored, [owners, index, *undecided], _send_prefixes(rarity, sizes.buckets, wanted), X.ROW)
+        sent = X.later_pass(stored, [owners, index, prefixes, *undecided], _send_prefixes(sizes.buckets, wanted), X.ROW)
         pairs = keep(X.meet(sent, _pair_up(skip, most)).where("payload is not null"))
         release(docs.sparkSession)
         return pairs, keep(X.later_pass(stored, [X.later_pass(stored, [pairs], _ship, X.ROW)], _verify, X.ROW))
@@ -450,6 +565,6 @@ def remove_similar_lines(docs: DataFrame) -> DataFrame:
     both = pairs.select(F.lit(0).alias("kind"), "batch", "bucket", "payload").union(matched.select(F.lit(1).alias("kind"), "batch", "bucket", "payload"))
     left = keep(both.groupBy("batch").applyInArrow(_unsettled, X.ROW))
     if not left.isEmpty():
-        wanted = _slots(X.later_pass(stored, [left], _send_wanted(rarity), X.ROW)) > 0
+        wanted = _slots(X.later_pass(stored, [owners, index, prefixes, left], _send_wanted, X.ROW)) > 0
         matched = matched.union(round_(TRIES, 1 << 60, [left], wanted)[1])
     return X.later_pass(stored, [owners, index, matched], _finish, "doc_id long, n_lines long, n_removed long, kept_sha256 string, removed array<long>")
